@@ -32,6 +32,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids only keeps its null.  Rows repeated with the same id share their flag.  An empty table gives an empty
     result; columns other than the two named are ignored.
     """
+    if not 1 <= salts <= 64:
+        raise ValueError("salts are kept as bits of one long: 1 to 64")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("__content"),
@@ -40,8 +42,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_salt = rows.groupBy("__salt", "__digest", "__mark", "__content").agg(F.max("doc_id").alias("__keep"), F.count("*").alias("__n"))
     winners = (
         by_salt.groupBy("__digest", "__mark", "__content")
-        .agg(F.max("__keep").alias("keep_id"), F.sum("__n").alias("group_size"), F.collect_set("__salt").alias("__salts"))
-        .select("__digest", "__mark", "keep_id", "group_size", F.explode("__salts").alias("__salt"))
+        .agg(F.max("__keep").alias("keep_id"), F.sum("__n").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, __salt)")).alias("__salts"))
+        .select("__digest", "__mark", "keep_id", "group_size", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> getbit(__salts, s) = 1)")).alias("__salt"))
     )
     return (
         rows.select("doc_id", "__digest", "__mark", "__salt")
