@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from trailmark.llm.common import table
 from trailmark.llm.exact_dedup import exact_groups
+from trailmark.llm.kd_shards import kd_shards
+from trailmark.llm.mixture import mix_sources
+
+
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=4.0)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +25,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_kd_shards": op3_kd_shards,
+    "op6_source_mixture": op6_source_mixture,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
