@@ -5,11 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailmark.llm.common import table
 from trailmark.llm.exact_dedup import exact_groups
 from trailmark.llm.kd_shards import kd_shards
+from trailmark.llm.language_id import identify, learn_profiles
+from trailmark.llm.license_scan import scan_licenses
 from trailmark.llm.mixture import mix_sources
+from trailmark.llm.packing import pack_documents
+
+
+def _remainder(n: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+def op2_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    profiles = learn_profiles(docs.filter((_remainder(4) != 2) & F.col("lang").isNotNull()))
+    held_out = (_remainder(4) == 2).alias("held_out")
+    return identify(docs.select("doc_id", held_out, "text"), profiles).drop("text")
 
 
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,13 +35,26 @@ def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=4.0)
 
 
+def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_rank_order_language": op2_rank_order_language,
     "op3_kd_shards": op3_kd_shards,
     "op6_source_mixture": op6_source_mixture,
+    "op8_license_templates": op8_license_templates,
+    "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
