@@ -14,6 +14,7 @@ from trailmark.llm.language_id import identify, learn_profiles
 from trailmark.llm.license_scan import scan_licenses
 from trailmark.llm.mixture import mix_sources
 from trailmark.llm.packing import pack_documents
+from trailmark.llm.toxicity import score_toxicity
 
 
 def _remainder(n: int):
@@ -31,6 +32,12 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(_remainder(5) != 0)
+    scored = score_toxicity(table(spark, sf_dir, "documents"), labels)
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=4.0)
 
@@ -52,6 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rank_order_language": op2_rank_order_language,
     "op3_kd_shards": op3_kd_shards,
+    "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_source_mixture": op6_source_mixture,
     "op8_license_templates": op8_license_templates,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
