@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailmark.llm.common import table
 from trailmark.llm.exact_dedup import exact_groups
+from trailmark.llm.fuzzy_hash import compare_with_next
 from trailmark.llm.kd_shards import kd_shards
 from trailmark.llm.language_id import identify, learn_profiles
 from trailmark.llm.license_scan import scan_licenses
@@ -32,6 +33,10 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op4_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(_remainder(5) != 0)
     scored = score_toxicity(table(spark, sf_dir, "documents"), labels)
@@ -59,6 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rank_order_language": op2_rank_order_language,
     "op3_kd_shards": op3_kd_shards,
+    "op4_piecewise_fingerprints": op4_piecewise_fingerprints,
     "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_source_mixture": op6_source_mixture,
     "op8_license_templates": op8_license_templates,
