@@ -56,3 +56,23 @@ def parallelism(spark: SparkSession) -> int:
 def id_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns the row-wise operators read, whatever else the table holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+#: Stands for a null id where ids are compared; it sorts below every other.
+NO_ID = -(2**63)
+
+
+def smallest_of_group(rows: DataFrame, keys: list[str], id_col: str, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Salted combining: ``rows`` with a salt, and one row per group with its smallest id and its salts as bits.
+
+    A hot group is spread over ``salts`` tasks before its winners meet; ``with_salts`` turns the second frame into
+    rows that join the first on salt and keys, none of which carries more than one salt's share of a group.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(29), id_col), F.lit(salts)).cast("int"))
+    by_salt = salted.groupBy("salt", *keys).agg(F.min(id_col).alias("smallest"))
+    winners = by_salt.groupBy(*keys).agg(F.min("smallest").alias("smallest"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+    return salted, winners
+
+
+def with_salts(winners: DataFrame, salts: int = 64) -> DataFrame:
+    return winners.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> getbit(salts, s) = 1)"))).drop("salts")

@@ -13,6 +13,7 @@ from trailmark.llm.fuzzy_hash import compare_with_next
 from trailmark.llm.kd_shards import kd_shards
 from trailmark.llm.language_id import identify, learn_profiles
 from trailmark.llm.license_scan import scan_licenses
+from trailmark.llm.minhash import near_duplicates
 from trailmark.llm.mixture import mix_sources
 from trailmark.llm.packing import pack_documents
 from trailmark.llm.toxicity import score_toxicity
@@ -47,6 +48,10 @@ def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), target_entropy=0.95, max_repeats=4.0)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op8_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piecewise_fingerprints": op4_piecewise_fingerprints,
     "op5_kneser_ney_toxicity": op5_kneser_ney_toxicity,
     "op6_source_mixture": op6_source_mixture,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_license_templates": op8_license_templates,
     "op9_sum_of_squares_packing": op9_sum_of_squares_packing,
     "op10_exact_dedup": op10_exact_dedup,
