@@ -16,9 +16,14 @@ from trailmark.llm.license_scan import scan_licenses
 from trailmark.llm.minhash import near_duplicates
 from trailmark.llm.mixture import mix_sources
 from trailmark.llm.packing import pack_documents
+from trailmark.llm.suffix_dedup import remove_repeats
 from trailmark.llm.toxicity import score_toxicity
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
@@ -67,6 +72,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_rank_order_language": op2_rank_order_language,
     "op3_kd_shards": op3_kd_shards,
     "op4_piecewise_fingerprints": op4_piecewise_fingerprints,
