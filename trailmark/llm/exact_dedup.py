@@ -63,8 +63,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Of rows repeated with the same id and text one stays; which one is open, since they are equal in both.
     """
-    flags = exact_groups(docs, id_col, text_col, salts).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    flags = exact_groups(docs, id_col, text_col, salts).filter("kept").groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")).agg(F.count("*").alias("__rows"))
     content = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    tagged = docs.withColumn("__sha", F.sha2(content, 256)).withColumn("__id", F.col(id_col).cast("long"))
-    kept = tagged.join(flags, (tagged["__id"].eqNullSafe(flags["__id"])) & (tagged["__sha"] == flags["__sha"]), "left_semi")
-    return kept.dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    tagged = docs.withColumn("__sha", F.sha2(content, 256))
+    kept = tagged.join(flags, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__sha") == F.col("__kept_sha")))
+    # Only rows that repeat with their id are looked at twice.
+    several = kept.filter("__rows > 1").dropDuplicates([id_col, "__sha"])
+    return kept.filter("__rows = 1").unionByName(several).select(*docs.columns)
