@@ -9,12 +9,13 @@ the gaps of the fullest.  The one window a partition may have left is cut at pow
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from trailmark.llm.common import id_texts
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+LAST = (1).to_bytes(4, "little")  # the id that ends a document
 ARROW = pa.schema([(name.split()[0], pa.int64()) for name in SCHEMA.split(", ")])
 
 
@@ -34,7 +36,7 @@ class WordCodec:
     with the tokenizer's; any other text, and any that may hold a special token, goes to the tokenizer itself.
     """
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -42,7 +44,7 @@ class WordCodec:
         vocabulary = self.tokenizer.get_vocab()
         self.final = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.final[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
         self.words = words
         latin = [chr(c) for c in range(0x250)]
         letters = "".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == "L")
@@ -57,20 +59,19 @@ class WordCodec:
         ends = np.flatnonzero(self.final[ids]) + 1
         if len(ends) != len(new) or len(ids) != (ends[-1] if len(ends) else 0):
             raise AssertionError("words and their tokens don't match")
-        listed, ends = ids.tolist(), ends.tolist()
-        self.known.update(zip(new, map(listed.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        raw, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        self.known.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         plain = [None if self.odd(t) else self.split(t.lower()) for t in texts]
         if len(self.known) > self.words:
             self.known = {}
-        self.learn(list(set(chain.from_iterable(filter(None, plain))) - self.known.keys()))
+        self.learn(list(filterfalse(self.known.__contains__, set(chain.from_iterable(filter(None, plain))))))
         known = self.known.__getitem__
         out = []
         for text, words in zip(texts, plain, strict=True):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids if words is None else list(chain.from_iterable(map(known, words)))
-            ids.append(1)
-            out.append(np.array(ids, dtype="<u4"))
+            raw = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if words is None else b"".join(map(known, words))
+            out.append(np.frombuffer(raw + LAST, dtype="<u4"))
         return out
 
 
@@ -201,6 +202,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, m
         raise ValueError("capacity is a power of two")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # lists of words hold no cycles, and there are many
         codec, packer = WordCodec(tokenizer_path), Packer(capacity, max_open, TaskContext.get().partitionId() << 36)
         for batch in batches:
             for at in range(0, batch.num_rows, chunk):
