@@ -5,6 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 SEVERITY = {"none": 0, "workspace": 1, "unknown": 1, "environment": 2, "history": 3, "destructive": 4, "remote": 5}
 
 # What well-known programs do, from their manuals: program -> (act, effect).
@@ -307,11 +311,8 @@ def commands_of(text: str | None) -> list[dict]:
 ROW = "array<struct<program:string,subcommand:string,act:string,effect:string,forced:boolean,join:string,nesting:array<string>,argv:array<string>>>"
 
 
-def shell_commands(column: str):
+def shell_commands(column: str) -> Column:
     """A column of commands; the parser runs on Arrow batches."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-
     @F.pandas_udf(ROW)
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(commands_of)

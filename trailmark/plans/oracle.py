@@ -209,3 +209,56 @@ ORACLE: dict[str, str] = {
         b AS (SELECT key, count(*) AS n_steps, CAST(sum(length(event_type || ' ' || k)) AS BIGINT) AS total_chars FROM st GROUP BY key)
         SELECT b.key, n_steps, total_chars, round(q.r, 6) AS recovery_share FROM b LEFT JOIN q ON q.key = b.key""",
 }
+
+_JUDGED = """j AS (SELECT CAST(conv_id AS VARCHAR) AS key, turn AS "index", CASE WHEN length(text) % 3 = 0 THEN 'pushback' WHEN length(text) % 3 = 1 THEN 'approval' ELSE 'neutral' END AS value
+    FROM conversations WHERE role = 'user')"""
+_LONG = """lg AS (SELECT user_id AS key, event_type AS feature, max(value) AS value, CASE WHEN count(*) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM events WHERE event_id % 7 <> 0 GROUP BY 1, 2)"""
+
+ORACLE |= {
+    "j10_semi": "SELECT o_orderkey, o_custkey AS key FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 5000)",
+    "j11_anti": "SELECT c_custkey AS key, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "p10_exists_filters": """SELECT c_custkey AS key, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_totalprice > 400000)
+        OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_totalprice > 350000)""",
+    "u5_multiset_diff": """SELECT user_id, event_type, count(*) FILTER (WHERE value < 60) - count(*) FILTER (WHERE value >= 60) AS n FROM events GROUP BY 1, 2
+        HAVING count(*) FILTER (WHERE value < 60) > count(*) FILTER (WHERE value >= 60)""",
+    "u6_symdiff": """WITH c AS (SELECT user_id, event_type, count(*) FILTER (WHERE value < 50) - count(*) FILTER (WHERE value >= 50) AS x FROM events GROUP BY 1, 2)
+        SELECT user_id, event_type, CASE WHEN x > 0 THEN 'left' ELSE 'right' END AS side, abs(x) AS n FROM c WHERE x <> 0""",
+    "o1_paged_sort": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 150",
+    "o3_topk_columns": """WITH l AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, l_quantity - 25.0::DOUBLE AS a, l_discount - 0.05::DOUBLE AS b, l_tax - 0.04::DOUBLE AS c FROM lineitem),
+        u AS (SELECT key, 'l_quantity' AS n, abs(a) AS s FROM l UNION ALL SELECT key, 'l_discount', abs(b) FROM l UNION ALL SELECT key, 'l_tax', abs(c) FROM l),
+        r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, n) AS r FROM u) SELECT a.key, a.n AS "first", b.n AS "second" FROM r a JOIN r b ON b.key = a.key AND b.r = 2 WHERE a.r = 1""",
+    "p9_search_filter": "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') AND contains(lower(lang), 'en')",
+    "w20_first_n": f"""WITH {_TRACE}, {_RUNS}, {_UNASKED}, ev AS (SELECT key, rule, step FROM fr UNION ALL SELECT key, rule, step FROM ua), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY step, rule) AS r FROM ev)
+        SELECT key, rule, step FROM r WHERE r <= 6""",
+    "w21_last_judgment": f"""WITH {_JUDGED}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY "index" DESC) AS r FROM j) SELECT key, 'reaction' AS feature, "index", value FROM r WHERE r = 1""",
+    "a10_unit_aggregates": f"""WITH {_JUDGED} SELECT key, round(avg(CASE WHEN value = 'pushback' THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, bool_or(value = 'approval') AS "any", count(*) FILTER (WHERE value = 'neutral') AS count,
+        arg_min(value, "index") AS "first", arg_max(value, "index") AS "last" FROM j GROUP BY key""",
+    "e7_judged_events": f"""WITH {_JUDGED} SELECT key, 'reaction' AS rule, "index" AS step FROM j WHERE value = 'pushback'""",
+    "a12_latest_verdict_precision": """WITH l AS (SELECT event_type AS feature, user_id, arg_max(value > 40, event_id) AS worth FROM events GROUP BY 1, 2)
+        SELECT feature, count(*) AS verdicts, round(avg(CASE WHEN worth THEN 1.0::DOUBLE ELSE 0 END), 6) AS precision FROM l GROUP BY 1""",
+    "h9_probe_ledger": """WITH h AS (SELECT DISTINCT event_type AS probe, user_id AS key FROM events WHERE value > 97), a AS (SELECT *, count(*) OVER (PARTITION BY key) = 1 AS alone FROM h),
+        r AS (SELECT user_id AS key, count(*) % 2 = 0 AS found FROM events GROUP BY 1 HAVING user_id % 3 <> 0)
+        SELECT probe, count(*) AS hits, count(found) AS read, count(*) FILTER (WHERE found) AS found, round(avg(CASE WHEN found THEN 1.0::DOUBLE WHEN NOT found THEN 0.0::DOUBLE END), 6) AS precision,
+        count(*) FILTER (WHERE alone) AS exclusive FROM a LEFT JOIN r ON r.key = a.key GROUP BY probe""",
+    "f28_apportion": """WITH w AS (SELECT source, count(*) AS w FROM documents GROUP BY 1), e AS (SELECT *, w * 37 / (sum(w) OVER ())::DOUBLE AS x FROM w), b AS (SELECT *, CAST(least(floor(x), w) AS BIGINT) AS f, x - floor(x) AS r FROM e),
+        p AS (SELECT *, row_number() OVER (ORDER BY r DESC, source) AS p, 37 - sum(f) OVER () AS lft FROM b) SELECT source, w, CAST(least(f + CASE WHEN p <= lft THEN 1 ELSE 0 END, w) AS BIGINT) AS share FROM p""",
+    "k1_replace_by_key": """WITH u AS (SELECT o_custkey AS key, o_orderstatus FROM orders WHERE o_custkey % 3 <> 0 UNION ALL SELECT o_custkey, 'N' FROM orders WHERE o_custkey % 6 = 0)
+        SELECT o_orderstatus, count(*) AS n, count(DISTINCT key) AS keys FROM u GROUP BY 1""",
+    "k2_feature_rows": f"""WITH {_LONG} SELECT key, max(CASE WHEN feature = 'click' AND status = 'ok' THEN value END) AS click, max(CASE WHEN feature = 'click' THEN status END) AS click__status,
+        max(CASE WHEN feature = 'error' AND status = 'ok' THEN value END) AS error, max(CASE WHEN feature = 'error' THEN status END) AS error__status FROM lg GROUP BY key""",
+    "a11_coverage": f"WITH {_LONG} SELECT feature, count(*) FILTER (WHERE status = 'ok') AS ok, count(*) FILTER (WHERE status = 'failed') AS failed FROM lg GROUP BY 1",
+    "r3_label_expansion": f"WITH {_TRACE} SELECT key, tool AS label, count(*)::DOUBLE AS value FROM act WHERE outcome = 'error' GROUP BY 1, 2",
+    "r6_group_compare": "SELECT o_orderpriority, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1",
+    "r9_course": f"""WITH {_TURNS}, {_RUNS} SELECT t.key, t."index", count(f.step) AS marks FROM tn t LEFT JOIN fr f ON f.key = t.key AND f.step BETWEEN t."start" AND t."end" GROUP BY 1, 2""",
+    "a25_typical": """WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY n DESC, o_orderpriority) AS r FROM c)
+        SELECT o_orderstatus, o_orderpriority AS typical FROM r WHERE r = 1""",
+    "n18_tail_counts": "WITH v AS (SELECT DISTINCT o_totalprice AS x FROM orders), c AS (SELECT v.x, count(f.o_totalprice) AS n FROM v LEFT JOIN orders f ON f.o_orderstatus = 'F' AND f.o_totalprice >= v.x GROUP BY 1) SELECT o_orderkey AS key, n AS at_least FROM orders JOIN c ON c.x = o_totalprice",
+    "n24_median_labels": "WITH m AS (SELECT quantile_cont(o_totalprice, 0.5) AS m FROM orders) SELECT CASE WHEN o_totalprice > m THEN 'failure' ELSE 'other' END AS label, count(*) AS n FROM orders, m GROUP BY 1",
+    "q_sql_bridge": "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 200000) AS dear, round(quantile_cont(o_totalprice, 0.99), 4) AS p99 FROM orders GROUP BY 1",
+    "q_cube": "SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) * 2 + grouping(o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "z_hourly_windows": """SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01 00:00:00'), '%Y-%m-%d %H:%M:%S') AS "start", event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""",
+    "z_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 21600000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g), c AS (SELECT user_id, s, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY 1""",
+    "k12_restricted": """SELECT CAST(conv_id AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS steps, CAST(NULL AS VARCHAR) AS secret FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1""",
+}
+
