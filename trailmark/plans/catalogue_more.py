@@ -64,8 +64,8 @@ def o1_paged_sort(spark, d):
 
 @query
 def o3_topk_columns(spark, d):
-    li = table(spark, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("key"), *[(F.col(c) - m).alias(c) for c, m in (("l_quantity", 25.0), ("l_discount", 0.05), ("l_tax", 0.04))])
-    top = M.top_reasons(li, ["l_quantity", "l_discount", "l_tax"], 2)
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_size") - 25.0).alias("size"), ((F.col("p_retailprice") - 1000) / 40.0).alias("price"), (F.col("p_partkey") % 31 - 15.0).alias("place"))
+    top = M.top_reasons(parts, ["size", "price", "place"], 2)
     return top.select("key", F.col("reasons")[0]["column"].alias("first"), F.col("reasons")[1]["column"].alias("second"))
 
 

@@ -224,9 +224,9 @@ ORACLE |= {
     "u6_symdiff": """WITH c AS (SELECT user_id, event_type, count(*) FILTER (WHERE value < 50) - count(*) FILTER (WHERE value >= 50) AS x FROM events GROUP BY 1, 2)
         SELECT user_id, event_type, CASE WHEN x > 0 THEN 'left' ELSE 'right' END AS side, abs(x) AS n FROM c WHERE x <> 0""",
     "o1_paged_sort": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 150",
-    "o3_topk_columns": """WITH l AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS key, l_quantity - 25.0::DOUBLE AS a, l_discount - 0.05::DOUBLE AS b, l_tax - 0.04::DOUBLE AS c FROM lineitem),
-        u AS (SELECT key, 'l_quantity' AS n, abs(a) AS s FROM l UNION ALL SELECT key, 'l_discount', abs(b) FROM l UNION ALL SELECT key, 'l_tax', abs(c) FROM l),
-        r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, n) AS r FROM u) SELECT a.key, a.n AS "first", b.n AS "second" FROM r a JOIN r b ON b.key = a.key AND b.r = 2 WHERE a.r = 1""",
+    "o3_topk_columns": """WITH l AS (SELECT p_partkey AS key, p_size - 25.0::DOUBLE AS size, (p_retailprice - 1000) / 40.0::DOUBLE AS price, p_partkey % 31 - 15.0::DOUBLE AS place FROM part),
+        u AS (SELECT key, 'size' AS n, abs(size) AS s FROM l UNION ALL SELECT key, 'price', abs(price) FROM l UNION ALL SELECT key, 'place', abs(place) FROM l),
+        r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, n) AS r FROM u) SELECT key, max(CASE WHEN r = 1 THEN n END) AS "first", max(CASE WHEN r = 2 THEN n END) AS "second" FROM r GROUP BY key""",
     "p9_search_filter": "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license') AND contains(lower(lang), 'en')",
     "w20_first_n": f"""WITH {_TRACE}, {_RUNS}, {_UNASKED}, ev AS (SELECT key, rule, step FROM fr UNION ALL SELECT key, rule, step FROM ua), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY step, rule) AS r FROM ev)
         SELECT key, rule, step FROM r WHERE r <= 6""",
