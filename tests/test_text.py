@@ -25,7 +25,7 @@ def test_shell(text, want):
 
 
 def test_shell_nesting_and_force():
-    found = shell.parse("if [ -f a ]; then for f in *; do rm -f $f; done; else echo $(git status); fi")
+    found = shell.parse("if [ -e a ]; then for f in *; do rm -f $f; done; else echo $(git status); fi")
     assert [(c.program, c.nesting) for c in found] == [("[", ("if",)), ("rm", ("if", "loop")), ("echo", ("if",)), ("git", ("if", "substitution"))]
     assert found[1].forced and not found[0].forced
 

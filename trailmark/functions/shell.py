@@ -296,7 +296,7 @@ def describe(command: Command) -> Command:
     if any(kind in (">", ">>", ">|", "&>", "&>>") and target not in ("/dev/null", "1", "2") for kind, target in command.redirects) and SEVERITY[effect] < SEVERITY["workspace"]:
         effect = "workspace"
         act = "edit" if act in ("shell", "read") else act
-    return replace(command, program=program, subcommand=subcommand, flags=flags, operands=operands, act=act, effect=effect, forced=bool(FORCING & set(flags)))
+    return replace(command, program=program, subcommand=subcommand, flags=flags, operands=operands, act=act, effect=effect, forced=act != "shell" and bool(FORCING & set(flags)))
 
 
 def commands_of(text: str | None) -> list[dict]:

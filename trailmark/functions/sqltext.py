@@ -170,9 +170,15 @@ def bridged(text: str) -> str:
     """S12, Q: the dialect that analysts write, in Spark's: file names as views, function names, FILTER, QUALIFY."""
     for pattern, to in _REWRITES:
         text = re.sub(pattern, to, text)
-    m = re.search(r"(?is)^\s*select\s+(.*?)\s+from\s+(.*?)\s+qualify\s+(.*?)(\s+order\s+by\s+.*|\s+limit\s+.*)?$", text)
+    m = re.search(r"(?is)^\s*select\s+(.*?)\s+from\s+(.*?)\s+qualify\s+(.*)$", text)
     if m:
-        text = f"SELECT * EXCEPT (__q) FROM (SELECT {m[1]}, {m[3]} AS __q FROM {m[2]}) WHERE __q{m[4] or ''}"
+        condition, depth, end = m[3], 0, len(m[3])
+        for i, c in enumerate(condition):
+            depth += (c == "(") - (c == ")")
+            if not depth and re.match(r"(?i)\s(order\s+by|limit)\b", condition[i:]):
+                end = i
+                break
+        text = f"SELECT * EXCEPT (__q) FROM (SELECT {m[1]}, {condition[:end]} AS __q FROM {m[2]}) WHERE __q{condition[end:]}"
     return text
 
 

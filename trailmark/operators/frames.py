@@ -51,7 +51,7 @@ def resampled(column: str, points: int) -> Column:
     c, n = f"`{column}`", points
     at = f"(i * (size({c}) - 1) / {max(1, n - 1)}D)"
     lo, hi = f"cast({c}[cast(floor{at} AS INT)] AS DOUBLE)", f"cast({c}[cast(ceil{at} AS INT)] AS DOUBLE)"
-    return F.expr(f"transform(sequence(0, {n - 1}), i -> {lo} + ({hi} - {lo}) * ({at} - floor{at}))")
+    return F.when(F.col(column).isNotNull(), F.expr(f"transform(sequence(0, {n - 1}), i -> {lo} + ({hi} - {lo}) * ({at} - floor{at}))"))
 
 
 def event_counts(column: str) -> list[Column]:
