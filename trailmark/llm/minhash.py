@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import filterfalse, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -60,7 +60,7 @@ class Shingler:
         known = self.known
         if len(known) > self.held:
             known.clear()
-        for w in set(words) - known.keys():
+        for w in filterfalse(known.__contains__, set(words)):
             known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         size = min(self.size, len(words))
