@@ -166,7 +166,7 @@ def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, similarity: f
     return [(int(ids[x]), int(ids[y])) for x, y in pairs], int(ids[hub])
 
 
-def candidates(nodes: DataFrame, similarity: float, chunk: int = 512) -> DataFrame:
+def candidates(nodes: DataFrame, similarity: float, chunk: int = 256) -> DataFrame:
     """``a, b`` (a < b) from ``doc_id, n, sketch, keys``: pairs worth confirming, each once."""
     member = nodes.select("doc_id", F.explode("keys").alias("key"))
     full = member.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
@@ -209,16 +209,18 @@ def candidates(nodes: DataFrame, similarity: float, chunk: int = 512) -> DataFra
     return found.filter("key IS NULL AND a < b").select("a", "b").unionByName(tied).distinct()
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, chunk: int = 512) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, chunk: int = 256) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets meet 100 * intersection >= percent * union.
 
     The texts of one a's partners are read in one run after a's own; an a of many partners is dealt to several.
+    Texts are joined by a merge whatever the sizes: pairs grow with the corpus, so a broadcast would only hold
+    for small ones.
     """
     degree = pairs.groupBy("a").agg(F.count("*").alias("m"))
     dealt = pairs.join(degree, "a").select("a", "b", F.expr(f"pmod(xxhash64(37, b), ceil(m / {chunk}))").alias("part"))
     asked = dealt.select("a", "part", F.col("b").alias("doc_id")).unionByName(dealt.select("a", "part", F.col("a").alias("doc_id")).distinct())
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = asked.join(texts, "doc_id").select("a", "part", F.expr("doc_id <> a").alias("partner"), "doc_id", "text")
+    rows = asked.join(texts.hint("shuffle_merge"), "doc_id").select("a", "part", F.expr("doc_id <> a").alias("partner"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
