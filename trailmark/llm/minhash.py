@@ -6,9 +6,9 @@ attempt) names, again until it finds one (optimal densification).  ``rows`` bins
 follows from the similarity and the share of pairs at that similarity that may be missed.
 
 *Candidates.*  Documents with equal sets are one node.  Nodes that share a band meet in its bucket, in chunks of
-bounded size.  A chunk compares the sketches of its members and passes on stars: the member with most likely
-partners, its partners, and so on with whoever is left, besides each member's likeliest partner.  So a bucket of
-m members gives at most 2 m pairs.  Chunks of one bucket are tied together through their hubs.
+bounded size.  A chunk compares the sketches of its members and passes on stars: the member that agrees most with
+its likely partners, those partners, and so on with whoever is left, besides each member's three likeliest
+partners.  So a bucket of m members gives at most 4 m pairs.  Chunks of one bucket are tied together through their hubs.
 
 *Links.*  A candidate pair counts only when confirmed on the full sets.  Connected components follow.
 """
@@ -33,6 +33,7 @@ from trailmark.llm.components import connected_components
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = str.maketrans(UPPER, LOWER)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+NEAREST = 3
 
 
 def words_of(text: str | None) -> list[str]:
@@ -146,23 +147,25 @@ def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, similarity: f
     likely = agree >= similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / np.minimum(least, bins))
     likely &= least >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
     np.fill_diagonal(likely, False)
-    partners = likely.sum(axis=1)
-    hub = int(partners.argmax())
-    if not partners[hub]:
+    weight = np.where(likely, agree, 0)
+    mass = weight.sum(axis=1)
+    hub = int(mass.argmax())
+    if not mass[hub]:
         return [], int(ids[hub])
     pairs: set[tuple[int, int]] = set()
-    left = partners > 0
+    left = mass > 0
     while left.any():
-        here = int(np.where(left, (likely & left).sum(axis=1), -1).argmax())
+        here = int(np.where(left, (weight * left).sum(axis=1), -1).argmax())
         near = likely[here] & left
         pairs.update((min(here, x), max(here, x)) for x in np.flatnonzero(near).tolist())
         left &= ~near
         left[here] = False
-    best = np.where(likely, agree, -1)
-    for x, y in pairs:
-        best[x, y] = best[y, x] = np.where(partners[[x, y]] > 1, -1, best[x, y]).min()
-    nearest = best.argmax(axis=1)
-    pairs.update((min(x, y), max(x, y)) for x, y in enumerate(nearest.tolist()) if best[x, y] >= 0)
+    for _ in range(min(NEAREST, m - 1)):
+        best = weight.argmax(axis=1)
+        for x, y in enumerate(best.tolist()):
+            if weight[x, y]:
+                pairs.add((min(x, y), max(x, y)))
+        weight[np.arange(m), best] = 0
     return [(int(ids[x]), int(ids[y])) for x, y in pairs], int(ids[hub])
 
 
