@@ -105,11 +105,11 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     return order, rank, eight
 
 
-def common_prefixes(order: np.ndarray, rank: np.ndarray, eight: np.ndarray, most: int, lanes: int = 2048) -> np.ndarray:
+def common_prefixes(order: np.ndarray, rank: np.ndarray, eight: np.ndarray, most: int, lanes: int | None = None) -> np.ndarray:
     """For each slot of ``order``: the common prefix with the slot before, at most ``most``.
 
     Kasai's pass: the prefix at a place is at least that at the place before, less one.  The text is cut into
-    ``lanes`` stretches that take their steps together, eight bytes a comparison.  Where neighbours share a rank
+    stretches (``lanes`` of them, 16 places each by default) that take their steps together, eight bytes a comparison.  Where neighbours share a rank
     the depth of sorting has shown it already, and nothing carries over from there.
     """
     n = len(order)
@@ -120,7 +120,7 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, eight: np.ndarray, most
     tied = np.zeros(n, bool)
     tied[order[1:]] = rank[order[1:]] == rank[order[:-1]]
     out = np.zeros(n, np.int64)
-    step = -(-n // lanes)
+    step = -(-n // lanes) if lanes else 16
     here = np.arange(0, n, step)
     common = np.zeros(len(here), np.int64)
     for j in range(step):
@@ -211,7 +211,7 @@ def _find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, shard: int = 1_000_000, contents: int = 2048) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, shard: int = 500_000, contents: int = 1024) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and ``spans`` as first, end, ...
 
     Texts are UTF-8 bytes, read whole; a null text is empty, and texts under ``length`` bytes lose nothing.
@@ -220,10 +220,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, shard: in
     """
     spark = docs.sparkSession
     texts = id_texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
-    found = stored(_find_anchors(texts.filter(F.octet_length("text") >= length), length, gram), "sa-anchors")
+    every = stored(_find_anchors(texts.filter(F.octet_length("text") >= length), length, gram), "sa-anchors")
     content = ["h", "d1", "d2", "starts"]
+    twice = every.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+    found = stored(every.join(twice.select("h"), "h", "left_semi"), "sa-repeated")
     by_content = found.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "lo")).alias("at"))
-    by_content = stored(by_content.withColumn("doc_id", F.col("at.doc_id")).withColumn("rid", F.col("at.rid")).withColumn("lo", F.col("at.lo")).drop("at"), "sa-contents")
+    by_content = stored(by_content.select(*content, "n", "at.doc_id", "at.rid", "at.lo"), "sa-contents")
     by_anchor = by_content.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     mixed = by_content.join(by_anchor, "h").select(*content, "n", "doc_id", "rid", "lo", F.expr(f"ceil(k / {contents})").alias("parts"))
     mixed = mixed.withColumn("part", F.expr("pmod(xxhash64(41, d1), parts)"))
@@ -258,11 +260,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, shard: in
         found, strings, again = repeated_starts([r[6] for r in rows], [r[5] for r in rows], length)
         out: list[tuple] = [(r[0], r[3], r[4], _runs(f), None, None) for r, f in zip(rows, found, strict=True) if len(f)]
         shared: dict[tuple[int, int], list] = {}
-        for (i, start), hit in zip(strings.tolist(), again.tolist(), strict=True):
-            if rows[i][2] > 1:
-                digest = xxhash.xxh3_128_digest(rows[i][6][start : start + length])
-                x, y = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
-                shared.setdefault((rows[i][0], x * rows[i][2] >> 64), []).append((x, y, rows[i][3], rows[i][4], start, hit))
+        parted = np.array([r[2] > 1 for r in rows])[strings[:, 0]]
+        for (i, start), hit in zip(strings[parted].tolist(), again[parted].tolist(), strict=True):
+            digest = xxhash.xxh3_128_digest(rows[i][6][start : start + length])
+            x, y = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+            shared.setdefault((rows[i][0], x * rows[i][2] >> 64), []).append((x, y, rows[i][3], rows[i][4], start, hit))
         for (h, bucket), items in shared.items():
             out.append((h, None, None, None, bucket, np.sort(np.array(items, STRINGS), order=["x", "y"]).tobytes()))
         columns = list(zip(*out, strict=True)) or [()] * 6
