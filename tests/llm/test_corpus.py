@@ -330,10 +330,10 @@ def test_near_copies_in_small_chunks(spark):
         texts[i] = " ".join(words)
     df = documents(spark, list(texts.values()))
     drawn = minhash.sketches(df, 5, 22, 4)
-    pairs = minhash.candidates(drawn, 0.8, chunk=8)
+    pairs = minhash.candidates(minhash.buckets(drawn), 0.8, chunk=8)
     links = minhash.confirmed(df, pairs, 5, 80, chunk=8)
     assert {r["component"] for r in connected_components(links).collect()} == {0}
-    assert pairs.count() < 22 * 4 * 120
+    assert pairs.count() < 22 * 9 * 120
 
 
 def test_near_copies_odd(spark, odd):

@@ -7,10 +7,12 @@ follows from the similarity and the share of pairs at that similarity that may b
 
 *Candidates.*  Documents with equal sets are one node.  Nodes that share a band meet in its bucket, in chunks of
 bounded size.  A chunk compares the sketches of its members and passes on stars: the member that agrees most with
-its likely partners, those partners, and so on with whoever is left, besides each member's three likeliest
-partners.  So a bucket of m members gives at most 4 m pairs.  Chunks of one bucket are tied together through their hubs.
+its likely partners, those partners, and so on with whoever is left, besides each member's eight likeliest
+partners.  So a bucket of m members gives at most 9 m pairs.  Chunks of one bucket are tied together through their hubs.
 
-*Links.*  A candidate pair counts only when confirmed on the full sets.  Connected components follow.
+*Links.*  A candidate pair counts only when confirmed on the full sets.  Connected components follow.  Then the
+buckets are gone through again for likely pairs of different components that were not tried, with twice as many
+partners a member each time, until a round confirms nothing.
 """
 
 from __future__ import annotations
@@ -33,7 +35,9 @@ from trailmark.llm.components import connected_components
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = str.maketrans(UPPER, LOWER)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-NEAREST = 3
+NEAREST = 8
+#: Of a sketch; bands take the first of them, and all of them tell how alike two members of a bucket are.
+BINS = 256
 
 
 def words_of(text: str | None) -> list[str]:
@@ -74,7 +78,7 @@ class Shingler:
 
 class Sketcher:
     def __init__(self, bands: int, rows: int):
-        self.bands, self.rows, self.bins = bands, rows, bands * rows
+        self.bands, self.rows, self.bins = bands, rows, max(BINS, bands * rows)
         at = np.arange(self.bins, dtype=np.uint64)
         #: The bin that a bin borrows from at each attempt.
         self.lenders = [(_mix(at * np.uint64(1000) + np.uint64(i + 1)) % np.uint64(self.bins)).astype(np.int64) for i in range(1000)]
@@ -100,7 +104,7 @@ class Sketcher:
 
     def keys(self, values: np.ndarray) -> np.ndarray:
         """One signed 64-bit key per band."""
-        parts = values.reshape(self.bands, self.rows)
+        parts = values[: self.bands * self.rows].reshape(self.bands, self.rows)
         out = np.arange(1, self.bands + 1, dtype=np.uint64)
         for i in range(self.rows):
             out = _mix((out ^ parts[:, i]) * _ODD + np.uint64(1))
@@ -137,8 +141,8 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return id_texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
 
 
-def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, similarity: float) -> tuple[list[tuple[int, int]], int]:
-    """Pairs to confirm among the members of a chunk, and its first hub."""
+def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, homes: np.ndarray, similarity: float, nearest: int) -> tuple[list[tuple[int, int]], int]:
+    """Pairs to confirm among the members of a chunk that have different homes, and its first hub."""
     m, bins = matrix.shape
     agree = np.empty((m, m), np.float32)
     for at in range(0, m, 64):
@@ -146,7 +150,7 @@ def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, similarity: f
     least = np.minimum(sizes[:, None], sizes[None, :])
     likely = agree >= similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / np.minimum(least, bins))
     likely &= least >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
-    np.fill_diagonal(likely, False)
+    likely &= homes[:, None] != homes[None, :]
     weight = np.where(likely, agree, 0)
     mass = weight.sum(axis=1)
     hub = int(mass.argmax())
@@ -160,7 +164,7 @@ def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, similarity: f
         pairs.update((min(here, x), max(here, x)) for x in np.flatnonzero(near).tolist())
         left &= ~near
         left[here] = False
-    for _ in range(min(NEAREST, m - 1)):
+    for _ in range(min(nearest, m - 1)):
         best = weight.argmax(axis=1)
         for x, y in enumerate(best.tolist()):
             if weight[x, y]:
@@ -169,29 +173,42 @@ def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, similarity: f
     return [(int(ids[x]), int(ids[y])) for x, y in pairs], int(ids[hub])
 
 
-def candidates(nodes: DataFrame, similarity: float, chunk: int = 256) -> DataFrame:
-    """``a, b`` (a < b) from ``doc_id, n, sketch, keys``: pairs worth confirming, each once."""
+def buckets(nodes: DataFrame) -> DataFrame:
+    """``key, m, doc_id, n, sketch`` of the members of all buckets of two and more; m is the bucket's size."""
     member = nodes.select("doc_id", F.explode("keys").alias("key"))
     full = member.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    placed = member.join(full, "key").withColumn("part", F.expr(f"pmod(xxhash64(31, doc_id), ceil(m / {chunk}))"))
-    dealt = placed.join(nodes.select("doc_id", "n", "sketch"), "doc_id").select("key", "part", F.expr(f"m > {chunk}").alias("parted"), "doc_id", "n", "sketch")
+    return member.join(full, "key").join(nodes.select("doc_id", "n", "sketch"), "doc_id").select("key", "m", "doc_id", "n", "sketch")
+
+
+def candidates(members: DataFrame, similarity: float, nearest: int = NEAREST, homes: DataFrame | None = None, chunk: int = 256, deal: int = 0) -> DataFrame:
+    """``a, b`` (a < b): pairs of ``buckets`` worth confirming, each once.
+
+    With ``homes`` (node, component) only pairs of different components are.  Every bucket is dealt to chunks in
+    its own way, another one for each ``deal``, so two members are apart in some of their buckets at most.
+    """
+    first = homes is None
+    dealt = members.withColumn("part", F.expr(f"pmod(xxhash64({31 + deal}, key, doc_id), ceil(m / {chunk}))")).withColumn("parted", F.col("m") > chunk)
+    if first:
+        dealt = dealt.withColumn("home", F.col("doc_id"))
+    else:
+        dealt = dealt.join(homes, F.col("doc_id") == F.col("node"), "left").withColumn("home", F.coalesce("component", "doc_id"))
+    dealt = dealt.select("key", "part", "parted", "doc_id", "n", "sketch", "home")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
+                yield from zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
 
         out: list[tuple] = []
         for (key, _, parted), group in groupby(rows(), key=itemgetter(0, 1, 2)):
             members = list(group)
-            ids = np.array([r[3] for r in members], np.int64)
-            if len(members) > 1:
+            ids, homes_ = np.array([r[3] for r in members], np.int64), np.array([r[6] for r in members], np.int64)
+            pairs, hub = [], int(ids[0])
+            if (homes_ != homes_[0]).any():
                 matrix = np.frombuffer(b"".join(r[5] for r in members), np.uint8).reshape(len(members), -1)
-                pairs, hub = _stars(ids, np.array([r[4] for r in members], np.int64), matrix, similarity)
-            else:
-                pairs, hub = [], int(ids[0])
+                pairs, hub = _stars(ids, np.array([r[4] for r in members], np.int64), matrix, homes_, similarity, nearest)
             out.extend((min(p), max(p), None) for p in pairs)
-            if parted:
+            if parted and first:
                 out.append((hub, None, key))
             if len(out) > 20_000:
                 yield _batch(out)
@@ -202,7 +219,7 @@ def candidates(nodes: DataFrame, similarity: float, chunk: int = 256) -> DataFra
         a, b, k = zip(*out, strict=True) if out else ((), (), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], names=["a", "b", "key"])
 
-    spark = nodes.sparkSession
+    spark = dealt.sparkSession
     found = dealt.repartition(parallelism(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long, key long")
     found = stored(found, "mh-pairs")
     hubs = found.filter("key IS NOT NULL").select("key", F.col("a").alias("hub"))
@@ -262,12 +279,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     winners = stored(winners, "mh-sets")
     one = winners.select(F.col("smallest").alias("doc_id"), "d1", "d2")
     nodes = drawn.join(one, ["doc_id", "d1", "d2"]).dropDuplicates(["doc_id", "d1", "d2"]).select("doc_id", "n", "sketch", "keys")
-    pairs = stored(candidates(nodes, similarity), "mh-candidates")
-    links = confirmed(docs, pairs, size, percent)
     # An id with several texts ties the sets of its texts.
     several = salted.join(with_salts(winners), ["salt", "d1", "d2", "n"]).filter("doc_id <> smallest").groupBy("doc_id").agg(F.min("smallest").alias("lo"), F.max("smallest").alias("hi")).filter("lo < hi")
-    links = links.unionByName(several.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
+    members = stored(buckets(nodes), "mh-buckets")
+    pairs = stored(candidates(members, similarity), "mh-candidates")
+    links = stored(confirmed(docs, pairs, size, percent).unionByName(several.select(F.col("lo").alias("a"), F.col("hi").alias("b"))), "mh-links")
     component = connected_components(links)
+    # What the stars left out: likely pairs of different components, more of each member's partners every time,
+    # until none is left that wasn't tried or none of them is a link.
+    tried, nearest, deal = pairs, NEAREST, 0
+    while True:
+        nearest, deal = nearest * 2, deal + 1
+        pairs = stored(candidates(members, similarity, nearest, component, deal=deal).join(tried, ["a", "b"], "left_anti"), "mh-candidates")
+        if pairs.isEmpty():
+            break
+        more = stored(confirmed(docs, pairs, size, percent), "mh-links")
+        if more.isEmpty():
+            break
+        tried, links = tried.unionByName(pairs), links.unionByName(more)
+        component = connected_components(links)
     named = winners.join(component, F.col("smallest") == F.col("node"), "left").select("d1", "d2", "n", "salts", F.coalesce("component", "smallest").alias("component_id"))
     linked = salted.join(with_salts(named), ["salt", "d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = drawn.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
