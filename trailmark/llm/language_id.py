@@ -54,26 +54,32 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return distinct, np.bincount(at, weights=counts).astype(np.int64)
 
 
-def count_profiles(labelled: DataFrame) -> DataFrame:
-    """``lang, gram, n`` over all rows of ``labelled`` (text, lang)."""
+def count_profiles(labelled: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``lang, gram, n`` over all rows of ``labelled`` (text, lang); a task holds at most ``most`` counts at a time."""
+
+    def rows(totals: dict[str, list]) -> Iterator[pa.RecordBatch]:
+        for lang, parts in totals.items():
+            grams, counts = _merged(parts)
+            for at in range(0, len(grams), 50_000):
+                g, n = grams[at : at + 50_000], counts[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letter_table()
         totals: dict[str, list] = {}
-        held: dict[str, int] = {}
+        held = 0
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = ngram_counts(text or "", letters)
                 totals.setdefault(lang, []).append(part)
-                held[lang] = held.get(lang, 0) + len(part[0])
-                if held[lang] > 1_000_000:
-                    totals[lang] = [_merged(totals[lang])]
-                    held[lang] = 0
-        for lang, parts in totals.items():
-            grams, counts = _merged(parts)
-            for at in range(0, len(grams), 50_000):
-                g, n = grams[at : at + 50_000], counts[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
+                held += len(part[0])
+                if held > most:
+                    totals = {x: [_merged(parts)] for x, parts in totals.items()}
+                    held = sum(len(parts[0][0]) for parts in totals.values())
+                    if held > most // 2:
+                        yield from rows(totals)
+                        totals, held = {}, 0
+        yield from rows(totals)
 
     return labelled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
