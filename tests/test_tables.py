@@ -79,6 +79,15 @@ def test_ranks_over_ranges(spark):
     assert [(-r["s"], r["key"]) for r in one] == sorted((-r["s"], r["key"]) for r in one)
 
 
+def test_running_sums_over_ranges(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"), (F.col("id") % 7).alias("n"))
+    got = {(r["g"], r["x"]): r["n_upto"] for r in N.running(df, ["g"], "x", ["n"], parts=16, part_rows=100).collect()}
+    total = {}
+    for i in range(3000):
+        total[i % 3] = total.get(i % 3, 0) + i % 7
+        assert got[i % 3, float(i)] == total[i % 3]
+
+
 def test_sampling(spark):
     df = spark.range(100).select(F.col("id").cast("string").alias("key"), F.col("id").cast("double").alias("v"))
     got = M.sample(df, [M.Strategy("outlier", 5, column="v"), M.Strategy("target", 0.1, where="v < 50 & v >= 10"), M.Strategy("random")], 30).collect()

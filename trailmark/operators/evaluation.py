@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.stats import running
+
 FOLDS, LEAST_ROWS = 5, 50
 
 
@@ -128,16 +130,12 @@ def decisions(role: dict[str, str], noise: dict[str, float], labels: dict[str, i
 
 
 def tail_counts(df: DataFrame, reference: DataFrame, column: str) -> DataFrame:
-    """Key, at_least: how many reference values are as high; a running count over the union in one sort per range.
-
-    Equal values are counted once each, so only distinct values are ordered.
-    """
-    from pyspark.sql import Window
-
+    """Key, at_least: how many reference values are as high, by running counts over distinct values."""
     counts = reference.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct().withColumn("n", F.lit(0).cast("long"))
-    upto = Window.orderBy(F.desc("v")).rangeBetween(Window.unboundedPreceding, 0)
-    tails = counts.unionByName(values).groupBy("v").agg(F.sum("n").alias("n")).withColumn("at_least", F.sum("n").over(upto))
+    merged = counts.unionByName(values).groupBy("v").agg(F.sum("n").alias("n"))
+    total = merged.agg(F.sum("n")).first()[0] or 0
+    tails = running(merged, [], "v", ["n"]).select("v", (F.lit(total) - F.col("n_upto") + F.col("n")).cast("long").alias("at_least"))
     return df.join(tails, df[column] == tails["v"]).select("key", "at_least")
 
 

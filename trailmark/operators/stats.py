@@ -65,12 +65,31 @@ def ranked_shifts(found: DataFrame, batch: str, stratum: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.abs("effect")), stratum, batch, "column")).cast("long"))
 
 
+def running(counts: DataFrame, by: list[str], order: str, values: list[str], parts: int = 1024, part_rows: int = 50_000) -> DataFrame:
+    """``counts`` with the running sum ``<value>_upto`` of each value in ascending ``order`` within ``by``.
+
+    A prefix sum in two levels: rows are cut into ranges of ``order`` at approximate quantiles; the sums of the
+    ranges are accumulated over at most ``parts`` rows a group, and each range adds its own, so no task orders a
+    whole group.  ``order`` is distinct within a group.
+    """
+    k = max(1, min(parts, counts.count() // part_rows))
+    bounds = sorted(set(counts.agg(F.percentile_approx(order, F.array(*[F.lit(i / k) for i in range(1, k)]), F.lit(100_000))).first()[0] or [])) if k > 1 else []
+    listed = "array(" + ", ".join(f"{float(b)!r}D" for b in bounds) + ")"
+    dealt = counts.withColumn("__part", F.expr(f"size(filter({listed}, b -> b <= `{order}`))") if bounds else F.lit(0))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*by, "__part").agg(*[F.sum(v).alias(v) for v in values])
+    base = sums.select(*by, "__part", *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"__{v}") for v in values])
+    own = Window.partitionBy(*by, "__part").orderBy(order)
+    joined = dealt.join(base, [*by, "__part"])
+    return joined.select(*counts.columns, *[(F.sum(v).over(own) + F.col(f"__{v}")).alias(f"{v}_upto") for v in values])
+
+
 def ks_statistic(df: DataFrame, group: str, side: Column, value: str) -> DataFrame:
     """Per group, the largest gap between the distributions of the two sides, by running counts over distinct values."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    upto, all_ = Window.partitionBy(group).orderBy("x"), Window.partitionBy(group)
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(all_) - F.sum("b").over(upto) / F.sum("b").over(all_))
-    return counts.withColumn("gap", gap).groupBy(group).agg(F.max("gap").alias("ks"))
+    totals = counts.groupBy(group).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
+    gap = F.abs(F.col("a_upto") / F.col("na") - F.col("b_upto") / F.col("nb"))
+    return running(counts, [group], "x", ["a", "b"]).join(totals, group).groupBy(group).agg(F.max(gap).alias("ks"))
 
 
 def consequences(turns: DataFrame, bad_at: DataFrame) -> DataFrame:
@@ -220,14 +239,12 @@ def surprisal(df: DataFrame, reference: DataFrame, column: str) -> DataFrame:
 
 def spearman(df: DataFrame, stratum: str, x: str, y: str, least: int = 20) -> DataFrame:
     """Per stratum of enough rows, the correlation of average ranks."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-
-    def average_rank(c: str) -> Column:
-        tied = Window.partitionBy(stratum, c)
-        return F.rank().over(Window.partitionBy(stratum).orderBy(c)) + (F.count("*").over(tied) - 1) / 2
-
-    ranks = both.withColumn("rx", average_rank(x)).withColumn("ry", average_rank(y))
-    return ranks.groupBy(stratum).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).filter(F.col("n") >= least)
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(stratum, x, y)
+    for c, name in ((x, "rx"), (y, "ry")):
+        counts = both.groupBy(stratum, c).agg(F.count("*").alias("n"))
+        ranks = running(counts, [stratum], c, ["n"]).select(stratum, c, (F.col("n_upto") - (F.col("n") - 1) / 2).alias(name))
+        both = both.join(ranks, [stratum, c])
+    return both.groupBy(stratum).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho")).filter(F.col("n") >= least)
 
 
 def confusion(df: DataFrame, x: str, y: str) -> DataFrame:
