@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.events import events_in_turns
+
 
 def page(df: DataFrame, sort: str, key: str, size: int, number: int = 0, descending: bool = True) -> DataFrame:
     """O1, R2: one page in a total order, nulls last, ties by key."""
@@ -87,9 +89,10 @@ def trajectory_list(anomalies: DataFrame, stats: DataFrame, trajectories: DataFr
 
 def course(turns: DataFrame, marks: DataFrame) -> DataFrame:
     """Each turn with the marks (key, step, label) that fall into it, in order."""
-    inside = (F.col("m.key") == F.col("t.key")) & F.col("m.step").between(F.col("t.start"), F.col("t.end"))
-    found = turns.alias("t").join(marks.alias("m"), inside, "left").groupBy("t.key", "t.index", "t.start", "t.end").agg(F.sort_array(F.collect_list(F.struct("m.step", "m.label"))).alias("marks"))
-    return found.withColumn("marks", F.filter("marks", lambda m: m["step"].isNotNull()))
+    found = events_in_turns(marks.withColumnRenamed("label", "rule"), turns).filter("`index` IS NOT NULL")
+    listed = found.groupBy("key", "index").agg(F.sort_array(F.collect_list(F.struct("step", F.col("rule").alias("label")))).alias("marks"))
+    none = F.array().cast("array<struct<step:bigint,label:string>>")
+    return turns.select("key", "index", "start", "end").join(listed, ["key", "index"], "left").withColumn("marks", F.coalesce("marks", none))
 
 
 def cards(features: DataFrame, *more: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailmark.operators.steps import cut_turns, duration_seconds
+from trailmark.operators.steps import duration_seconds, is_user_message
 
 EDITING = ("edit", "create", "delete", "notebook")
 VERIFYING = ("test", "build")
@@ -16,13 +16,15 @@ def turn_summary(steps: DataFrame, actions: DataFrame) -> DataFrame:
     """One row per turn: counts, duration, first and last act and how it ended.
 
     Interruption (a notice after the last action, or an interrupted last action) goes before a question, a question
-    before a response, and a turn that ends otherwise ended in a tool.
+    before a response, and a turn that ends otherwise ended in a tool.  A step's turn is a running count, and an
+    action brings its own (from 1), so nothing is joined by intervals.
     """
-    turns = cut_turns(steps)
-    inside = lambda c: (F.col(f"o.{c}") >= F.col("t.start")) & (F.col(f"o.{c}") <= F.col("t.end"))
-    own_steps = turns.alias("t").join(steps.alias("o"), (F.col("o.key") == F.col("t.key")) & inside("step"))
+    upto = Window.partitionBy("key").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = steps.withColumn("index", F.sum(is_user_message().cast("long")).over(upto) - 1).filter("`index` >= 0")
+    own_steps = numbered.withColumn("start", F.min("step").over(Window.partitionBy("key", "index")))
     talk = (F.col("role") == "assistant") & (F.col("kind") == "message")
-    by_step = own_steps.select("t.key", "t.index", "t.start", "t.end", *[f"o.{c}" for c in ("step", "role", "kind", "name", "content", "timestamp")]).groupBy("key", "index", "start", "end").agg(
+    by_step = own_steps.groupBy("key", "index", "start").agg(
+        F.max("step").alias("last_step"),
         F.max(F.when(F.col("step") == F.col("start"), F.length("content"))).cast("long").alias("prompt_chars"),
         F.count_if(F.col("kind") == "notice").alias("notices"),
         F.count("*").alias("steps"),
@@ -32,9 +34,11 @@ def turn_summary(steps: DataFrame, actions: DataFrame) -> DataFrame:
         F.max(F.when((F.col("kind") == "notice") & (F.col("name") == "interruption"), F.col("step"))).alias("last_interruption"),
         F.max_by(talk, "step").alias("ends_with_message"),
     )
-    own_actions = turns.alias("t").join(actions.alias("o"), (F.col("o.key") == F.col("t.key")) & inside("call"))
+    nxt = F.lead("start").over(Window.partitionBy("key").orderBy("index"))
+    by_step = by_step.withColumn("end", F.coalesce(nxt - 1, F.col("last_step"))).drop("last_step")
+    own_actions = actions.filter("turn > 0").withColumn("index", F.col("turn").cast("long") - 1)
     at = F.struct("call", "ordinal")
-    by_action = own_actions.select("t.key", "t.index", *[f"o.{c}" for c in ("call", "ordinal", "act", "program", "tool", "effect", "outcome")]).groupBy("key", "index").agg(
+    by_action = own_actions.groupBy("key", "index").agg(
         F.count("*").alias("actions"),
         F.count_if(F.col("act").isin(*EDITING)).alias("edits"),
         F.count_if(F.col("act").isin(*VERIFYING)).alias("verifications"),
