@@ -36,7 +36,7 @@ class WordCodec:
     with the tokenizer's; any other text, and any that may hold a special token, goes to the tokenizer itself.
     """
 
-    def __init__(self, path: str, words: int = 600_000):
+    def __init__(self, path: str, words: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
