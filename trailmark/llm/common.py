@@ -7,6 +7,7 @@ import os
 import sys
 import tempfile
 import uuid
+import weakref
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 #: Executors need not have this package installed: what they run is sent to them whole.
 cloudpickle.register_pickle_by_value(sys.modules["trailmark"])
 
+#: Where each stored frame that is still held has its table.
+_STORED: dict[int, tuple[weakref.ref, str]] = {}
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -38,11 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing twice.
 
     The table outlives the call, because the returned frame reads it lazily; the folder is the cluster's
-    checkpoint folder, which is emptied like any other checkpoint.
+    checkpoint folder, which is emptied like any other checkpoint.  ``instead_of`` is a stored frame that nothing
+    reads any more once the new one is written; its table is deleted.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -50,7 +55,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     # Shuffle files go once the driver's collector finds that no plan refers to them: have it look now.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop(id(instead_of))[1])
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    made = spark.read.schema(df.schema).parquet(path)
+    _STORED[id(made)] = (weakref.ref(made, lambda _, key=id(made): _STORED.pop(key, None)), path)
+    return made
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.expr("explode(array(struct(u, m), struct(v AS u, m)))").alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct()
-        now = stored(small, "cc-edges")
+        now = stored(small, "cc-edges", instead_of=now)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -223,7 +223,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, shard: in
     every = stored(_find_anchors(texts.filter(F.octet_length("text") >= length), length, gram), "sa-anchors")
     content = ["h", "d1", "d2", "starts"]
     twice = every.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-    found = stored(every.join(twice.select("h"), "h", "left_semi"), "sa-repeated")
+    found = stored(every.join(twice.select("h"), "h", "left_semi"), "sa-repeated", instead_of=every)
     by_content = found.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "lo")).alias("at"))
     by_content = stored(by_content.select(*content, "n", "at.doc_id", "at.rid", "at.lo"), "sa-contents")
     by_anchor = by_content.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
