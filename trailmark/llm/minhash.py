@@ -7,12 +7,12 @@ follows from the similarity and the share of pairs at that similarity that may b
 
 *Candidates.*  Documents with equal sets are one node.  Nodes that share a band meet in its bucket, in chunks of
 bounded size.  A chunk compares the sketches of its members and passes on stars: the member that agrees most with
-its likely partners, those partners, and so on with whoever is left, besides each member's eight likeliest
-partners.  So a bucket of m members gives at most 9 m pairs.  Chunks of one bucket are tied together through their hubs.
+its likely partners, those partners, and so on with whoever is left, besides each member's likeliest partner.  So
+a bucket of m members gives at most 2 m pairs.  Chunks of one bucket are tied together through their hubs.
 
 *Links.*  A candidate pair counts only when confirmed on the full sets.  Connected components follow.  Then the
-buckets are gone through again for likely pairs of different components that were not tried, with twice as many
-partners a member each time, until a round confirms nothing.
+buckets are gone through again for likely pairs of different components that were not tried, with 2 partners a
+member, then 4 and so on, until a round confirms nothing.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ from trailmark.llm.components import connected_components
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = str.maketrans(UPPER, LOWER)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-NEAREST = 8
+#: Partners of a member in the first round over different components.
+NEAREST = 2
 #: Of a sketch; bands take the first of them, and all of them tell how alike two members of a bucket are.
 BINS = 256
 
@@ -282,21 +283,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     # An id with several texts ties the sets of its texts.
     several = salted.join(with_salts(winners), ["salt", "d1", "d2", "n"]).filter("doc_id <> smallest").groupBy("doc_id").agg(F.min("smallest").alias("lo"), F.max("smallest").alias("hi")).filter("lo < hi")
     members = stored(buckets(nodes), "mh-buckets")
-    pairs = stored(candidates(members, similarity), "mh-candidates")
+    pairs = stored(candidates(members, similarity, 1), "mh-candidates")
     links = stored(confirmed(docs, pairs, size, percent).unionByName(several.select(F.col("lo").alias("a"), F.col("hi").alias("b"))), "mh-links")
     component = connected_components(links)
     # What the stars left out: likely pairs of different components, more of each member's partners every time,
     # until none is left that wasn't tried or none of them is a link.
     tried, nearest, deal = pairs, NEAREST, 0
     while True:
-        nearest, deal = nearest * 2, deal + 1
+        deal += 1
         pairs = stored(candidates(members, similarity, nearest, component, deal=deal).join(tried, ["a", "b"], "left_anti"), "mh-candidates")
         if pairs.isEmpty():
             break
         more = stored(confirmed(docs, pairs, size, percent), "mh-links")
         if more.isEmpty():
             break
-        tried, links = tried.unionByName(pairs), links.unionByName(more)
+        tried, links, nearest = tried.unionByName(pairs), links.unionByName(more), nearest * 2
         component = connected_components(links)
     named = winners.join(component, F.col("smallest") == F.col("node"), "left").select("d1", "d2", "n", "salts", F.coalesce("component", "smallest").alias("component_id"))
     linked = salted.join(with_salts(named), ["salt", "d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
