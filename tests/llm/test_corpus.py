@@ -336,6 +336,17 @@ def test_near_copies_in_small_chunks(spark):
     assert pairs.count() < 22 * 9 * 120
 
 
+def look_alikes(n):
+    """Texts of 80 words, all alike at 70/90, and pairs of them at 72/88."""
+    return {i: " ".join([f"c{k}" for k in range(70)] + [f"p{i // 2}a", f"p{i // 2}b"] + [f"o{i}n{k}" for k in range(8)]) for i in range(n)}
+
+
+def test_links_among_look_alikes(spark):
+    df = documents(spark, list(look_alikes(200).values()))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 1, 80).collect()}
+    assert got == {i: i - i % 2 for i in range(200)}
+
+
 def test_near_copies_odd(spark, odd):
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd, 3, 85).collect()}
     assert (7, 7, True) in got and (9, 7, False) in got and (5, 4, False) in got

@@ -10,9 +10,11 @@ bounded size.  A chunk compares the sketches of its members and passes on stars:
 its likely partners, those partners, and so on with whoever is left, besides each member's likeliest partner.  So
 a bucket of m members gives at most 2 m pairs.  Chunks of one bucket are tied together through their hubs.
 
-*Links.*  A candidate pair counts only when confirmed on the full sets.  Connected components follow.  Then the
-buckets are gone through again for likely pairs of different components that were not tried, with 2 partners a
-member, then 4 and so on, until a round confirms nothing.
+*Links.*  A candidate pair counts only when confirmed on the full sets.  Connected components follow.
+
+*Rest.*  Then every likely pair of different components that shares a bucket is compared on full sets, chunk by
+chunk.  A chunk is a block of bounded size that reads each text once and passes on links only, so what it costs
+beyond its members is comparisons, not rows.  A pair belongs to the first band it shares.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ from trailmark.llm.components import connected_components
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _FOLD = str.maketrans(UPPER, LOWER)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Partners of a member in the first round over different components.
-NEAREST = 2
+#: Likeliest partners that a member of a chunk is tried with besides the stars.
+NEAREST = 1
 #: Of a sketch; bands take the first of them, and all of them tell how alike two members of a bucket are.
 BINS = 256
 
@@ -142,16 +144,23 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
     return id_texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
 
 
-def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, homes: np.ndarray, similarity: float, nearest: int) -> tuple[list[tuple[int, int]], int]:
-    """Pairs to confirm among the members of a chunk that have different homes, and its first hub."""
-    m, bins = matrix.shape
-    agree = np.empty((m, m), np.float32)
-    for at in range(0, m, 64):
-        agree[at : at + 64] = (matrix[at : at + 64, None, :] == matrix[None, :, :]).mean(axis=2, dtype=np.float32)
-    least = np.minimum(sizes[:, None], sizes[None, :])
-    likely = agree >= similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / np.minimum(least, bins))
-    likely &= least >= similarity * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
-    likely &= homes[:, None] != homes[None, :]
+def _likely(ours: tuple[np.ndarray, ...], theirs: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The agreement of sketches, ours by theirs, and where it makes a pair of different homes likely."""
+    (sizes, matrix, homes), (sizes_, matrix_, homes_) = ours, theirs
+    agree = np.empty((len(matrix), len(matrix_)), np.float32)
+    for at in range(0, len(matrix), 64):
+        agree[at : at + 64] = (matrix[at : at + 64, None, :] == matrix_[None, :, :]).mean(axis=2, dtype=np.float32)
+    least = np.minimum(sizes[:, None], sizes_[None, :])
+    likely = agree >= similarity - 4.5 * np.sqrt(similarity * (1 - similarity) / np.minimum(least, matrix.shape[1]))
+    likely &= least >= similarity * np.maximum(sizes[:, None], sizes_[None, :]) - 1e-9
+    likely &= homes[:, None] != homes_[None, :]
+    return agree, likely
+
+
+def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, similarity: float, nearest: int) -> tuple[list[tuple[int, int]], int]:
+    """Pairs to confirm among the members of a chunk, and its first hub."""
+    m = len(matrix)
+    agree, likely = _likely((sizes, matrix, ids), (sizes, matrix, ids), similarity)
     weight = np.where(likely, agree, 0)
     mass = weight.sum(axis=1)
     hub = int(mass.argmax())
@@ -181,35 +190,27 @@ def buckets(nodes: DataFrame) -> DataFrame:
     return member.join(full, "key").join(nodes.select("doc_id", "n", "sketch"), "doc_id").select("key", "m", "doc_id", "n", "sketch")
 
 
-def candidates(members: DataFrame, similarity: float, nearest: int = NEAREST, homes: DataFrame | None = None, chunk: int = 256, deal: int = 0) -> DataFrame:
+def candidates(members: DataFrame, similarity: float, nearest: int = NEAREST, chunk: int = 256) -> DataFrame:
     """``a, b`` (a < b): pairs of ``buckets`` worth confirming, each once.
 
-    With ``homes`` (node, component) only pairs of different components are.  Every bucket is dealt to chunks in
-    its own way, another one for each ``deal``, so two members are apart in some of their buckets at most.
+    Every bucket is dealt to chunks in its own way, so two members are apart in some of their buckets at most.
     """
-    first = homes is None
-    dealt = members.withColumn("part", F.expr(f"pmod(xxhash64({31 + deal}, key, doc_id), ceil(m / {chunk}))")).withColumn("parted", F.col("m") > chunk)
-    if first:
-        dealt = dealt.withColumn("home", F.col("doc_id"))
-    else:
-        dealt = dealt.join(homes, F.col("doc_id") == F.col("node"), "left").withColumn("home", F.coalesce("component", "doc_id"))
-    dealt = dealt.select("key", "part", "parted", "doc_id", "n", "sketch", "home")
+    dealt = members.withColumn("part", F.expr(f"pmod(xxhash64(31, key, doc_id), ceil(m / {chunk}))")).withColumn("parted", F.col("m") > chunk)
+    dealt = dealt.select("key", "part", "parted", "doc_id", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
+                yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
 
         out: list[tuple] = []
         for (key, _, parted), group in groupby(rows(), key=itemgetter(0, 1, 2)):
             members = list(group)
-            ids, homes_ = np.array([r[3] for r in members], np.int64), np.array([r[6] for r in members], np.int64)
-            pairs, hub = [], int(ids[0])
-            if (homes_ != homes_[0]).any():
-                matrix = np.frombuffer(b"".join(r[5] for r in members), np.uint8).reshape(len(members), -1)
-                pairs, hub = _stars(ids, np.array([r[4] for r in members], np.int64), matrix, homes_, similarity, nearest)
+            ids = np.array([r[3] for r in members], np.int64)
+            matrix = np.frombuffer(b"".join(r[5] for r in members), np.uint8).reshape(len(members), -1)
+            pairs, hub = _stars(ids, np.array([r[4] for r in members], np.int64), matrix, similarity, nearest)
             out.extend((min(p), max(p), None) for p in pairs)
-            if parted and first:
+            if parted:
                 out.append((hub, None, key))
             if len(out) > 20_000:
                 yield _batch(out)
@@ -266,6 +267,111 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, chunk:
     return placed.mapInArrow(run, "a long, b long")
 
 
+def blocks(members: DataFrame, nodes: DataFrame, homes: DataFrame, similarity: float, chunk: int = 256, shingles: int = 4_000_000) -> DataFrame:
+    """``key, p, q, place, doc_id, home, held, near``: who is to be compared in which block, in ascending place.
+
+    A bucket's members are dealt to chunks of about ``chunk`` members and ``shingles`` shingles at most, and a block
+    is a pair of its chunks.  Members of the component that has most of a larger bucket have chunks of their own,
+    which do not meet.  ``near`` has a bit for each earlier place to compare with, ``held`` tells whether a later
+    place asks for this one.
+    """
+    named = members.select("key", "doc_id", "n").join(homes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("home"))
+    by_home = named.groupBy("key", "home").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    by_key = by_home.groupBy("key").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "home")).alias("top")).filter("m > top.m")
+    parts = lambda m, n: f"cast(ceil(greatest(({m}) / {chunk}, ({n}) / {shingles})) AS long)"
+    whole = by_key.withColumn("one", F.expr(f"{parts('m', 'n')} <= 1"))
+    dealt_to = whole.select("key", F.expr("IF(one, NULL, top.home)").alias("main"), F.expr(f"IF(one, 1L, {parts('m - top.m', 'n - top.n')})").alias("rest"), F.expr(f"IF(one, 0L, {parts('top.m', 'top.n')})").alias("mains"))
+    drawn = F.xxhash64(F.lit(41), "key", "doc_id")
+    of_main = F.col("home").eqNullSafe(F.col("main"))
+    placed = named.select("key", "doc_id", "home").distinct().join(dealt_to, "key")
+    placed = placed.withColumn("part", F.when(of_main, F.col("rest") + F.pmod(drawn, F.greatest(F.col("mains"), F.lit(1)))).otherwise(F.pmod(drawn, "rest")))
+    placed = placed.withColumn("other", F.col("part"))
+    placed = placed.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.expr("int(part > other)").alias("side"), "doc_id", "home")
+    rows_ = placed.join(nodes.select("doc_id", "n", "sketch", "keys"), "doc_id").select("key", "p", "q", "side", "doc_id", "home", "n", "sketch", "keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True)
+
+        out: list[tuple] = []
+        for (key, p, q), group in groupby(rows(), key=itemgetter(0, 1, 2)):
+            # Of an id with several texts only those of this bucket count.
+            members = [r for r in group if key in r[8]]
+            homes_ = np.array([r[5] for r in members], np.int64)
+            if not len(members) or (homes_ == homes_[0]).all():
+                continue
+            sizes = np.array([r[6] for r in members], np.int64)
+            matrix = np.frombuffer(b"".join(r[7] for r in members), np.uint8).reshape(len(members), -1)
+            keys = np.array([r[8] for r in members], np.int64)
+            ours = sum(1 for r in members if not r[3]) if p != q else len(members)
+            late = slice(ours, None) if p != q else slice(None)
+            _, near = _likely((sizes[late], matrix[late], homes_[late]), (sizes[:ours], matrix[:ours], homes_[:ours]), similarity)
+            if p == q:
+                near = np.tril(near, -1)
+            for band in range(members[0][8].index(key)):
+                near &= keys[late, band][:, None] != keys[:ours, band][None, :]
+            if not near.any():
+                continue
+            held = np.zeros(len(members), bool)
+            held[:ours] = near.any(axis=0)
+            asks = np.zeros(len(members), bool)
+            asks[late] = near.any(axis=1)
+            bits = np.packbits(near, axis=1)
+            first = late.start or 0
+            out.extend((key, p, q, i, members[i][4], members[i][5], bool(held[i]), bits[i - first].tobytes() if asks[i] else b"") for i in np.flatnonzero(held | asks).tolist())
+            if len(out) > 20_000:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [()] * 8
+        kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "p", "q", "place", "doc_id", "home", "held", "near"])
+
+    dealt = rows_.repartition(parallelism(members.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
+    return dealt.mapInArrow(run, "key long, p long, q long, place long, doc_id long, home long, held boolean, near binary")
+
+
+def confirmed_in_blocks(docs: DataFrame, asked: DataFrame, size: int, percent: int) -> DataFrame:
+    """``a, b``: of the pairs of ``blocks`` whose full sets meet the threshold, those that tie components a block has not tied yet."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = asked.join(texts.hint("shuffle_merge"), "doc_id").select("key", "p", "q", "place", "doc_id", "home", "held", "near", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        at, sets, tied = None, {}, {}
+
+        def root(home: int) -> int:
+            while (above := tied.get(home, home)) != home:
+                tied[home] = home = tied.get(above, above)
+            return home
+
+        for batch in batches:
+            a_out, b_out = [], []
+            for key, p, q, place, doc, home, held, near, text in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if (key, p, q) != at:
+                    at, sets, tied = (key, p, q), {}, {}
+                hashes = None
+                for other in np.flatnonzero(np.unpackbits(np.frombuffer(near, np.uint8))).tolist():
+                    for doc_, home_, theirs in sets.get(other, ()):
+                        if root(home_) == root(home):
+                            break
+                        hashes = shingler.hashes(text) if hashes is None else hashes
+                        both = len(np.intersect1d(theirs, hashes, assume_unique=True))
+                        if both and 100 * both >= percent * (len(theirs) + len(hashes) - both):
+                            tied[root(home)] = root(home_)
+                            a_out.append(min(doc, doc_))
+                            b_out.append(max(doc, doc_))
+                if held:
+                    sets.setdefault(place, []).append((doc, home, shingler.hashes(text) if hashes is None else hashes))
+            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    placed = rows.repartition(parallelism(docs.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "place")
+    return placed.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 4, missed: float = 1e-5) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -283,22 +389,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     # An id with several texts ties the sets of its texts.
     several = salted.join(with_salts(winners), ["salt", "d1", "d2", "n"]).filter("doc_id <> smallest").groupBy("doc_id").agg(F.min("smallest").alias("lo"), F.max("smallest").alias("hi")).filter("lo < hi")
     members = stored(buckets(nodes), "mh-buckets")
-    pairs = stored(candidates(members, similarity, 1), "mh-candidates")
+    pairs = stored(candidates(members, similarity), "mh-candidates")
     links = stored(confirmed(docs, pairs, size, percent).unionByName(several.select(F.col("lo").alias("a"), F.col("hi").alias("b"))), "mh-links")
     component = connected_components(links)
-    # What the stars left out: likely pairs of different components, more of each member's partners every time,
-    # until none is left that wasn't tried or none of them is a link.
-    tried, nearest, deal = pairs, NEAREST, 0
-    while True:
-        deal += 1
-        pairs = stored(candidates(members, similarity, nearest, component, deal=deal).join(tried, ["a", "b"], "left_anti"), "mh-candidates")
-        if pairs.isEmpty():
-            break
-        more = stored(confirmed(docs, pairs, size, percent), "mh-links")
-        if more.isEmpty():
-            break
-        tried, links, nearest = tried.unionByName(pairs), links.unionByName(more), nearest * 2
-        component = connected_components(links)
+    # What the stars left out: all likely pairs of different components.
+    rest = stored(blocks(members, nodes, component, similarity), "mh-blocks")
+    if not rest.isEmpty():
+        more = stored(confirmed_in_blocks(docs, rest, size, percent), "mh-links")
+        if not more.isEmpty():
+            component = connected_components(links.unionByName(more))
     named = winners.join(component, F.col("smallest") == F.col("node"), "left").select("d1", "d2", "n", "salts", F.coalesce("component", "smallest").alias("component_id"))
     linked = salted.join(with_salts(named), ["salt", "d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = drawn.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
