@@ -347,6 +347,15 @@ def test_links_among_look_alikes(spark):
     assert got == {i: i - i % 2 for i in range(200)}
 
 
+def test_links_across_chunks_of_a_bucket(spark):
+    texts = look_alikes(700)
+    df = documents(spark, list(texts.values()))
+    sizes = minhash.buckets(minhash.sketches(df, 1, 22, 4)).groupBy("key").count().agg(F.max("count")).first()[0]
+    assert sizes > 256
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, 1, 80).collect()}
+    assert got == {i: i - i % 2 for i in range(700)}
+
+
 def test_near_copies_odd(spark, odd):
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd, 3, 85).collect()}
     assert (7, 7, True) in got and (9, 7, False) in got and (5, 4, False) in got

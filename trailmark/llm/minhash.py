@@ -12,8 +12,8 @@ a bucket of m members gives at most 2 m pairs.  Chunks of one bucket are tied to
 
 *Links.*  A candidate pair counts only when confirmed on the full sets.  Connected components follow.
 
-*Rest.*  Then every likely pair of different components that shares a bucket is compared on full sets, chunk by
-chunk.  A chunk is a block of bounded size that reads each text once and passes on links only, so what it costs
+*Rest.*  Then every likely pair of different components that shares a bucket is compared on full sets, chunk against
+chunk.  A chunk pair is a block of bounded size that reads each text once and passes on links only, so what it costs
 beyond its members is comparisons, not rows.  A pair belongs to the first band it shares.
 """
 
@@ -285,7 +285,7 @@ def blocks(members: DataFrame, nodes: DataFrame, homes: DataFrame, similarity: f
     of_main = F.col("home").eqNullSafe(F.col("main"))
     placed = named.select("key", "doc_id", "home").distinct().join(dealt_to, "key")
     placed = placed.withColumn("part", F.when(of_main, F.col("rest") + F.pmod(drawn, F.greatest(F.col("mains"), F.lit(1)))).otherwise(F.pmod(drawn, "rest")))
-    placed = placed.withColumn("other", F.col("part"))
+    placed = placed.withColumn("other", F.explode(F.expr("IF(part >= rest, sequence(0L, rest - 1), sequence(0L, rest + mains - 1))")))
     placed = placed.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.expr("int(part > other)").alias("side"), "doc_id", "home")
     rows_ = placed.join(nodes.select("doc_id", "n", "sketch", "keys"), "doc_id").select("key", "p", "q", "side", "doc_id", "home", "n", "sketch", "keys")
 
