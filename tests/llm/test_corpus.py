@@ -228,6 +228,17 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def test_toxicity_of_a_model_above_max_nodes(spark, some, odd):
+    """The model stays whole: the scores are those of the form that holds it in memory."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = some.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(some.select("doc_id", "text").limit(3))
+    key = lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["score"])
+    want, got = (sorted(toxicity.score_toxicity(docs, labels, max_nodes=m).collect(), key=key) for m in (300_000, 1))
+    assert sum(r["predicted"] for r in want) > 0 and len(want) == len(got)
+    for x, y in zip(want, got, strict=True):
+        assert (x["doc_id"], x["predicted"]) == (y["doc_id"], y["predicted"]) and x["score"] == pytest.approx(y["score"], abs=1e-9)
+
+
 def test_toxicity_odd(spark, odd):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (77, None), (6, 0)], "doc_id long, toxic int")
     got = toxicity.score_toxicity(odd, labels).collect()
