@@ -512,3 +512,14 @@ def test_pipeline(spark):
     assert copies == Counter({d: n for d, n in plan.items() if n})
     packed = P.pack(spark, mix, SF)
     assert packed.filter("start = 0").count() == sum(copies.values())
+
+
+def test_intersections_against_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 40 if i % 2 else 4000, rng.integers(0, 60))).astype(np.uint64) for i in range(30)]
+    for first, second in ((slice(0, 11), slice(11, None)), (slice(0, 30), slice(None))):
+        got = minhash.intersections(sets, first, second, few=3, width=7)
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets[second]] for a in sets[first]])
+        if second.start is None:
+            np.fill_diagonal(got, 0), np.fill_diagonal(want, 0)
+        assert (got == want).all()

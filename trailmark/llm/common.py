@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import sys
 import tempfile
 import uuid
@@ -33,25 +32,27 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is configured."""
+    """The folder that driver and executors share.  Only a local session, which is one process, may go without one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    made = os.path.join(tempfile.gettempdir(), "trailmark-shared")
-    os.makedirs(made, exist_ok=True)
-    return f"file://{made}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names the folder that driver and executors share; it isn't set")
+    return f"file://{tempfile.gettempdir()}/trailmark-shared"
 
 
 def stored(df: DataFrame, label: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing twice.
 
-    The table outlives the call, because the returned frame reads it lazily; the folder is the cluster's
-    checkpoint folder, which is emptied like any other checkpoint.  ``instead_of`` is a stored frame that nothing
-    reads any more once the new one is written; its table is deleted.
+    The table outlives the call, because the returned frame reads it lazily; it is deleted when the application
+    ends.  ``instead_of`` is a stored frame that nothing reads any more once the new one is written; its table is
+    deleted at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    written = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(written)
     # Shuffle files go once the driver's collector finds that no plan refers to them: have it look now.
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -90,3 +91,16 @@ def smallest_of_group(rows: DataFrame, keys: list[str], id_col: str, salts: int
 
 def with_salts(winners: DataFrame, salts: int = 64) -> DataFrame:
     return winners.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> getbit(salts, s) = 1)"))).drop("salts")
+
+
+def likely_among(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = 2**23) -> DataFrame:
+    """``rows`` without most of those whose id is not among ``ids``; every row whose id is there stays.
+
+    A filter before a join on the id: a bitmap of hashed ids, whose size is ``bits`` at most whatever is marked, is
+    broadcast.  The more ids there are, the more other rows pass; which rows the join finds doesn't change.
+    """
+    place = F.pmod(F.xxhash64(F.lit(53), F.col(id_col).cast("long")), F.lit(bits))
+    word, bit = F.shiftright("__place", 6), F.expr("cast(__place & 63 AS int)")
+    marked = ids.select(place.alias("__place")).groupBy(word.alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__place & 63 AS int))")).alias("__bits"))
+    tried = rows.withColumn("__place", place).withColumn("__word", word)
+    return tried.join(F.broadcast(marked), "__word").filter(F.getbit("__bits", bit) == 1).drop("__word", "__place", "__bits")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import stored
+from trailmark.llm.common import smallest_of_group, stored, with_salts
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -13,16 +13,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     A round hangs every neighbour above a node under the smallest of its neighbourhood (large star), then every
     neighbour below it likewise (small star); the rounds end when edges no longer change, as stars around the
-    components' smallest nodes.  Each round is written to the shared folder, so lineage stays short.
+    components' smallest nodes.  Each round is written to the shared folder, so lineage stays short.  The centre of
+    a large star is salted, so no task holds its component.
     """
+
+    def around(rows: DataFrame) -> DataFrame:
+        """``u, v`` with the smallest v of each u as m."""
+        salted, winners = smallest_of_group(rows, ["u"], "v", salts=16)
+        return salted.join(with_salts(winners, 16).withColumnRenamed("smallest", "m"), ["salt", "u"]).select("u", "v", "m")
+
     now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.expr("explode(array(struct(u, m), struct(v AS u, m)))").alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct()
+        large = around(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = around(large).select(F.expr("explode(array(struct(u, m), struct(v AS u, m)))").alias("e")).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct()
         now = stored(small, "cc-edges", instead_of=now)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:

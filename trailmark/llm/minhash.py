@@ -13,8 +13,9 @@ a bucket of m members gives at most 2 m pairs.  Chunks of one bucket are tied to
 *Links.*  A candidate pair counts only when confirmed on the full sets.  Connected components follow.
 
 *Rest.*  Then every likely pair of different components that shares a bucket is compared on full sets, chunk against
-chunk.  A chunk pair is a block of bounded size that reads each text once and passes on links only, so what it costs
-beyond its members is comparisons, not rows.  A pair belongs to the first band it shares.
+chunk.  A chunk pair is a block of bounded size that reads each text once, counts all its intersections as one matrix
+and passes on a tree of links only, so what it costs beyond its members is comparisons, not rows.  A pair belongs to
+the first band it shares.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import LOWER, NO_ID, UPPER, id_texts, parallelism, smallest_of_group, stored, with_salts
+from trailmark.llm.common import LOWER, NO_ID, UPPER, id_texts, likely_among, parallelism, smallest_of_group, stored, with_salts
 from trailmark.llm.components import connected_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -183,11 +184,15 @@ def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, similarity: f
     return [(int(ids[x]), int(ids[y])) for x, y in pairs], int(ids[hub])
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """``key, m, doc_id, n, sketch`` of the members of all buckets of two and more; m is the bucket's size."""
-    member = nodes.select("doc_id", F.explode("keys").alias("key"))
-    full = member.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    return member.join(full, "key").join(nodes.select("doc_id", "n", "sketch"), "doc_id").select("key", "m", "doc_id", "n", "sketch")
+def buckets(nodes: DataFrame, salts: int = 64) -> DataFrame:
+    """``salt, key, m, doc_id, n, sketch`` of the members of all buckets of two and more; m is the bucket's size.
+
+    A bucket is counted by salt first and its count goes back to its salts, so no task holds a whole hot bucket.
+    """
+    member = nodes.select("doc_id", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(salts)).cast("int"))
+    by_salt = member.groupBy("salt", "key").agg(F.count("*").alias("m"))
+    full = by_salt.groupBy("key").agg(F.sum("m").alias("m"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).filter("m > 1")
+    return member.join(with_salts(full, salts), ["salt", "key"]).join(nodes.select("doc_id", "n", "sketch"), "doc_id").select("salt", "key", "m", "doc_id", "n", "sketch")
 
 
 def candidates(members: DataFrame, similarity: float, nearest: int = NEAREST, chunk: int = 256) -> DataFrame:
@@ -225,9 +230,8 @@ def candidates(members: DataFrame, similarity: float, nearest: int = NEAREST, ch
     found = dealt.repartition(parallelism(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long, key long")
     found = stored(found, "mh-pairs")
     hubs = found.filter("key IS NOT NULL").select("key", F.col("a").alias("hub"))
-    in_key = Window.partitionBy("key").orderBy("hub")
-    hubs = hubs.select("hub", F.lag("hub").over(in_key).alias("last"), F.first("hub").over(in_key).alias("least"))
-    tied = hubs.select(F.explode(F.array("last", "least")).alias("a"), F.col("hub").alias("b")).filter("a < b")
+    least = hubs.groupBy("key").agg(F.min("hub").alias("least"))
+    tied = hubs.join(least, "key").select(F.col("least").alias("a"), F.col("hub").alias("b")).filter("a < b")
     return found.filter("key IS NULL AND a < b").select("a", "b").unionByName(tied).distinct()
 
 
@@ -242,6 +246,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, chunk:
     dealt = pairs.join(degree, "a").select("a", "b", F.expr(f"pmod(xxhash64(37, b), ceil(m / {chunk}))").alias("part"))
     asked = dealt.select("a", "part", F.col("b").alias("doc_id")).unionByName(dealt.select("a", "part", F.col("a").alias("doc_id")).distinct())
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = likely_among(texts, asked)
     rows = asked.join(texts.hint("shuffle_merge"), "doc_id").select("a", "part", F.expr("doc_id <> a").alias("partner"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,27 +272,27 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, chunk:
     return placed.mapInArrow(run, "a long, b long")
 
 
-def blocks(members: DataFrame, nodes: DataFrame, homes: DataFrame, similarity: float, chunk: int = 256, shingles: int = 4_000_000) -> DataFrame:
-    """``key, p, q, place, doc_id, home, held, near``: who is to be compared in which block, in ascending place.
+def blocks(members: DataFrame, drawn: DataFrame, homes: DataFrame, similarity: float, chunk: int = 1024, shingles: int = 2_000_000) -> DataFrame:
+    """``key, p, q, side, doc_id, home``: who is to be compared in which block, one side with the other.
 
     A bucket's members are dealt to chunks of about ``chunk`` members and ``shingles`` shingles at most, and a block
-    is a pair of its chunks.  Members of the component that has most of a larger bucket have chunks of their own,
-    which do not meet.  ``near`` has a bit for each earlier place to compare with, ``held`` tells whether a later
-    place asks for this one.
+    is a pair of its chunks, or one chunk with itself.  Members of the component that has most of a larger bucket
+    have chunks of their own, which do not meet.  Of a block only those go on that have a likely partner in another
+    component with whom they share no earlier band.
     """
-    named = members.select("key", "doc_id", "n").join(homes, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("home"))
-    by_home = named.groupBy("key", "home").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    by_key = by_home.groupBy("key").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "home")).alias("top")).filter("m > top.m")
+    named = members.select("salt", "key", "doc_id", "n").join(homes, F.col("doc_id") == F.col("node"), "left").select("salt", "key", "doc_id", "n", F.coalesce("component", "doc_id").alias("home"))
+    by_home = named.groupBy("key", "home").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+    by_key = by_home.groupBy("key").agg(F.sum("m").alias("m"), F.sum("n").alias("n"), F.max(F.struct("m", "n", "home")).alias("top"), F.bit_or("salts").alias("salts")).filter("m > top.m")
     parts = lambda m, n: f"cast(ceil(greatest(({m}) / {chunk}, ({n}) / {shingles})) AS long)"
     whole = by_key.withColumn("one", F.expr(f"{parts('m', 'n')} <= 1"))
-    dealt_to = whole.select("key", F.expr("IF(one, NULL, top.home)").alias("main"), F.expr(f"IF(one, 1L, {parts('m - top.m', 'n - top.n')})").alias("rest"), F.expr(f"IF(one, 0L, {parts('top.m', 'top.n')})").alias("mains"))
-    drawn = F.xxhash64(F.lit(41), "key", "doc_id")
+    dealt_to = whole.select("key", "salts", F.expr("IF(one, NULL, top.home)").alias("main"), F.expr(f"IF(one, 1L, {parts('m - top.m', 'n - top.n')})").alias("rest"), F.expr(f"IF(one, 0L, {parts('top.m', 'top.n')})").alias("mains"))
+    chosen = F.xxhash64(F.lit(41), "key", "doc_id")
     of_main = F.col("home").eqNullSafe(F.col("main"))
-    placed = named.select("key", "doc_id", "home").distinct().join(dealt_to, "key")
-    placed = placed.withColumn("part", F.when(of_main, F.col("rest") + F.pmod(drawn, F.greatest(F.col("mains"), F.lit(1)))).otherwise(F.pmod(drawn, "rest")))
+    placed = named.select("salt", "key", "doc_id", "home").distinct().join(with_salts(dealt_to), ["salt", "key"])
+    placed = placed.withColumn("part", F.when(of_main, F.col("rest") + F.pmod(chosen, F.greatest(F.col("mains"), F.lit(1)))).otherwise(F.pmod(chosen, "rest")))
     placed = placed.withColumn("other", F.explode(F.expr("IF(part >= rest, sequence(0L, rest - 1), sequence(0L, rest + mains - 1))")))
-    placed = placed.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.expr("int(part > other)").alias("side"), "doc_id", "home")
-    rows_ = placed.join(nodes.select("doc_id", "n", "sketch", "keys"), "doc_id").select("key", "p", "q", "side", "doc_id", "home", "n", "sketch", "keys")
+    placed = stored(placed.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.expr("int(part > other)").alias("side"), "doc_id", "home"), "mh-placed")
+    rows_ = likely_among(drawn.filter("n > 0").select("doc_id", "n", "sketch", "keys"), placed).join(placed, "doc_id").select("key", "p", "q", "side", "doc_id", "home", "n", "sketch", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -304,74 +309,112 @@ def blocks(members: DataFrame, nodes: DataFrame, homes: DataFrame, similarity: f
             sizes = np.array([r[6] for r in members], np.int64)
             matrix = np.frombuffer(b"".join(r[7] for r in members), np.uint8).reshape(len(members), -1)
             keys = np.array([r[8] for r in members], np.int64)
-            ours = sum(1 for r in members if not r[3]) if p != q else len(members)
-            late = slice(ours, None) if p != q else slice(None)
-            _, near = _likely((sizes[late], matrix[late], homes_[late]), (sizes[:ours], matrix[:ours], homes_[:ours]), similarity)
-            if p == q:
-                near = np.tril(near, -1)
+            first, second = _sides(p, q, [r[3] for r in members])
+            _, near = _likely((sizes[second], matrix[second], homes_[second]), (sizes[first], matrix[first], homes_[first]), similarity)
             for band in range(members[0][8].index(key)):
-                near &= keys[late, band][:, None] != keys[:ours, band][None, :]
-            if not near.any():
-                continue
-            held = np.zeros(len(members), bool)
-            held[:ours] = near.any(axis=0)
-            asks = np.zeros(len(members), bool)
-            asks[late] = near.any(axis=1)
-            bits = np.packbits(near, axis=1)
-            first = late.start or 0
-            out.extend((key, p, q, i, members[i][4], members[i][5], bool(held[i]), bits[i - first].tobytes() if asks[i] else b"") for i in np.flatnonzero(held | asks).tolist())
+                near &= keys[second, band][:, None] != keys[first, band][None, :]
+            asked = np.zeros(len(members), bool)
+            asked[first] |= near.any(axis=0)
+            asked[second] |= near.any(axis=1)
+            out.extend((key, p, q, members[i][3], members[i][4], members[i][5]) for i in np.flatnonzero(asked).tolist())
             if len(out) > 20_000:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
     def _batch(out: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else [()] * 8
-        kinds = [pa.int64()] * 6 + [pa.bool_(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "p", "q", "place", "doc_id", "home", "held", "near"])
+        columns = zip(*out, strict=True) if out else [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "p", "q", "side", "doc_id", "home"])
 
     dealt = rows_.repartition(parallelism(members.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
-    return dealt.mapInArrow(run, "key long, p long, q long, place long, doc_id long, home long, held boolean, near binary")
+    return dealt.mapInArrow(run, "key long, p long, q long, side long, doc_id long, home long")
+
+
+def _sides(p: int, q: int, sides: list[int]) -> tuple[slice, slice]:
+    """Which members, side 0 before side 1, meet which; all of a chunk meet all where it is its own partner."""
+    ours = len(sides) - sum(sides) if p != q else len(sides)
+    return slice(0, ours), slice(ours, None) if p != q else slice(None)
+
+
+def intersections(sets: list[np.ndarray], first: slice, second: slice, few: int = 6, width: int = 4096) -> np.ndarray:
+    """How many hashes each set of ``first`` has in common with each other one of ``second``.
+
+    Hashes of at most ``few`` sets are counted pair by pair, the others as products of 0-1 matrices of ``width`` columns.
+    """
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    hashes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1]))) if len(hashes) else np.empty(0, np.int64)
+    held = np.diff(np.concatenate((starts, [len(hashes)])))
+    ours, theirs = np.zeros(len(sets), bool), np.zeros(len(sets), bool)
+    ours[first], theirs[second] = True, True
+    row, column = np.cumsum(ours) - 1, np.cumsum(theirs) - 1
+    out = np.zeros((int(ours.sum()), int(theirs.sum())), np.float32)
+    flat = out.reshape(-1)
+    for k in range(2, few + 1):
+        at = starts[held == k]
+        for i in range(k):
+            for j in range(k):
+                a, b = owner[at + i], owner[at + j]
+                both = ours[a] & theirs[b] if i != j else np.zeros(len(a), bool)
+                np.add.at(flat, row[a[both]] * out.shape[1] + column[b[both]], 1)
+    many = np.flatnonzero(held > few)
+    for low in range(0, len(many), width):
+        part = many[low : low + width]
+        x = np.zeros((len(sets), len(part)), np.float32)
+        x[np.concatenate([owner[starts[c] : starts[c] + held[c]] for c in part]), np.repeat(np.arange(len(part)), held[part])] = 1
+        out += x[first] @ x[second].T
+    return out.astype(np.int64)
 
 
 def confirmed_in_blocks(docs: DataFrame, asked: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b``: of the pairs of ``blocks`` whose full sets meet the threshold, those that tie components a block has not tied yet."""
+    """``a, b``: of all pairs of ``blocks`` in different components whose full sets meet the threshold, those that tie what the block has not tied yet."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = asked.join(texts.hint("shuffle_merge"), "doc_id").select("key", "p", "q", "place", "doc_id", "home", "held", "near", "text")
+    rows = asked.join(likely_among(texts, asked).hint("shuffle_merge"), "doc_id").select("key", "p", "q", "side", "doc_id", "home", "text")
+
+    def links(members: list[tuple], p: int, q: int) -> Iterator[tuple[int, int]]:
+        first, second = _sides(p, q, [m[0] for m in members])
+        ids, homes = (np.array([m[i] for m in members], np.int64) for i in (1, 2))
+        sizes = np.array([len(m[3]) for m in members], np.int64)
+        both = intersections([m[3] for m in members], first, second)
+        ones, twos = np.nonzero((both > 0) & (100 * both >= percent * (sizes[first][:, None] + sizes[second][None, :] - both)) & (homes[first][:, None] != homes[second][None, :]))
+        _, place = np.unique(homes, return_inverse=True)
+        ones, twos = ones + first.start, twos + (second.start or 0)
+        above = np.arange(len(members))
+        while len(ones):
+            # One link of each component and round ties it; links inside what is tied by now are left out.
+            _, picked = np.unique(above[place[ones]], return_index=True)
+            for i, j in zip(ones[picked].tolist(), twos[picked].tolist(), strict=True):
+                x, y = _root(above, int(place[i])), _root(above, int(place[j]))
+                if x != y:
+                    above[x] = y
+                    yield min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))
+            above = np.array([_root(above, x) for x in range(len(above))])
+            apart = above[place[ones]] != above[place[twos]]
+            ones, twos = ones[apart], twos[apart]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
-        at, sets, tied = None, {}, {}
 
-        def root(home: int) -> int:
-            while (above := tied.get(home, home)) != home:
-                tied[home] = home = tied.get(above, above)
-            return home
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True)
 
-        for batch in batches:
-            a_out, b_out = [], []
-            for key, p, q, place, doc, home, held, near, text in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-                if (key, p, q) != at:
-                    at, sets, tied = (key, p, q), {}, {}
-                hashes = None
-                for other in np.flatnonzero(np.unpackbits(np.frombuffer(near, np.uint8))).tolist():
-                    for doc_, home_, theirs in sets.get(other, ()):
-                        if root(home_) == root(home):
-                            break
-                        hashes = shingler.hashes(text) if hashes is None else hashes
-                        both = len(np.intersect1d(theirs, hashes, assume_unique=True))
-                        if both and 100 * both >= percent * (len(theirs) + len(hashes) - both):
-                            tied[root(home)] = root(home_)
-                            a_out.append(min(doc, doc_))
-                            b_out.append(max(doc, doc_))
-                if held:
-                    sets.setdefault(place, []).append((doc, home, shingler.hashes(text) if hashes is None else hashes))
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+        for (_, p, q), group in groupby(rows(), key=itemgetter(0, 1, 2)):
+            found = list(links([(r[3], r[4], r[5], shingler.hashes(r[6])) for r in group], p, q))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    placed = rows.repartition(parallelism(docs.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "place")
+    placed = rows.repartition(parallelism(docs.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
     return placed.mapInArrow(run, "a long, b long")
 
 
+def _root(above: np.ndarray, x: int) -> int:
+    while above[x] != x:
+        x = int(above[x])
+    return x
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int = 4, missed: float = 1e-5) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -393,7 +436,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     links = stored(confirmed(docs, pairs, size, percent).unionByName(several.select(F.col("lo").alias("a"), F.col("hi").alias("b"))), "mh-links")
     component = connected_components(links)
     # What the stars left out: all likely pairs of different components.
-    rest = stored(blocks(members, nodes, component, similarity), "mh-blocks")
+    rest = stored(blocks(members, drawn, component, similarity), "mh-blocks")
     if not rest.isEmpty():
         more = stored(confirmed_in_blocks(docs, rest, size, percent), "mh-links")
         if not more.isEmpty():
