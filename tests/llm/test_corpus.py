@@ -228,6 +228,61 @@ def test_toxicity(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
 
 
+def kneser_ney(texts, discount, shared):
+    """P(letter | beginning) of either class as dicts, counted one by one: class -> beginning -> letter -> p."""
+    count = {0: Counter(), 1: Counter()}
+    for text, y in texts:
+        for word in set(toxicity.words_of(text)):
+            for i in range(len(word) + 2):
+                count[y][(word + "$")[:i]] += 1
+    both = count[0] + count[1]
+    nodes = [p for p in both if p]
+    kids = Counter(p[:-1] for p in nodes)
+    follows = Counter(p[-1] for p in nodes)
+    found = {0: defaultdict(dict), 1: defaultdict(dict)}
+    for p in nodes:
+        q = p[:-1]
+        backoff = max(both[p] - shared, 0) / both[q] + shared * kids[q] / both[q] * follows[p[-1]] / len(nodes)
+        for y in (0, 1):
+            taken = sum(min(discount, count[y][q + x]) for x in follows if q + x in both)
+            left = taken / count[y][q] if count[y][q] else 1.0
+            found[y][q][p[-1]] = (max(count[y][p] - discount, 0) / count[y][q] if count[y][q] else 0.0) + left * backoff
+            found[y][q][None] = left  # what a letter never seen gets, but for the backoff
+    return found, count[1]
+
+
+def test_kneser_ney_against_counting(spark):
+    rng = random.Random(8)
+    stems = ["lo", "low", "ba", "bar", "be", "ü"]
+    texts = [(" ".join(rng.choice(stems[: 3 + 3 * y]) + rng.choice(["", "n", "ei", "er", "x" * 300]) for _ in range(12)), y) for y in (0, 0, 1) for _ in range(30)]
+    found, toxic = kneser_ney(texts, 2.0, 0.75)
+    model = toxicity.Model.of(toxicity.learn(spark.createDataFrame(texts, "text string, toxic int"), discount=2.0, shared_discount=0.75))
+    words = sorted({w for t, _ in texts for w in toxicity.words_of(t)}) + ["lowx", "zz", "barei"]
+    for word, got in zip(words, model.of_words(words).tolist(), strict=True):
+        want = 0.0
+        for i, x in enumerate(word + "$"):
+            q = word[:i]
+            if toxic[q] <= 2:
+                break  # from here on both go on with the shared counts
+            x = x if x in found[1][q] else None
+            want += np.log(found[1][q][x] / found[0][q][x])
+            if x is None:
+                break
+        assert got == pytest.approx(want, abs=1e-9), word
+    for y in (0, 1):
+        for q, p in found[y].items():
+            seen = sum(v for x, v in p.items() if x)
+            assert seen <= 1 + 1e-9  # the rest is for letters that never follow
+
+
+def test_most_toxic_passage():
+    assert toxicity.most_toxic(np.array([]), 2) == 0 and toxicity.most_toxic(np.array([3.0]), 2) == 3
+    rng = np.random.default_rng(1)
+    for n in (2, 3, 9):
+        x = rng.normal(size=n)
+        assert toxicity.most_toxic(x, 2) == pytest.approx(max(x[i : i + 2].mean() for i in range(n - 1)))
+
+
 def test_toxicity_of_a_model_above_max_nodes(spark, some, odd):
     """The model stays whole: the scores are those of the form that holds it in memory."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
