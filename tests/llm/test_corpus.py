@@ -164,10 +164,30 @@ def test_shards_odd(spark, odd):
     same = documents(spark, ["copy"] * 400)
     sizes = kd_shards.kd_shards(same).groupBy("shard").agg(F.sum("size").alias("s")).collect()
     assert len(sizes) == 8 and max(r["s"] for r in sizes) < 2 * min(r["s"] for r in sizes)  # one hot group is parted
-    with pytest.raises(ValueError, match="leaves"):
+    with pytest.raises(ValueError, match="more than 10"):
         kd_shards.kd_shards(same, target_bytes=1, max_leaves=10)
 
 
+@pytest.mark.parametrize("n", [1, 9, 40, 300])
+def test_shards_of_uneven_sizes(spark, n):
+    """Sizes over four magnitudes, and groups of copies: eight shards, equal texts together, no shard far from the others."""
+    rng = random.Random(n)
+    texts = ["x" * int(10 ** rng.uniform(1, 5)) + str(i) for i in range(n)]
+    texts += [rng.choice(texts) for _ in range(n // 3)]
+    got = kd_shards.kd_shards(documents(spark, texts), shards=8).collect()
+    sizes, home, groups = Counter(), defaultdict(set), Counter()
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        home[texts[r["doc_id"]]].add(r["shard"])
+        groups[texts[r["doc_id"]]] += r["size"]
+    assert set(sizes) <= set(range(8)) and len(got) == len(texts)
+    mean, largest = sum(sizes.values()) / 8, max(groups.values())
+    for text, where in home.items():
+        assert len(where) == 1 or groups[text] > mean
+    if largest <= mean:
+        assert len(sizes) == 8 and max(sizes.values()) <= 1.05 * mean + (largest if n < 100 else 0)
+
+
 # 4 fingerprints
 
 
