@@ -12,6 +12,8 @@ from __future__ import annotations
 import gc
 import os
 import re
+import sys
+import types
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -50,7 +52,9 @@ class WordCodec:
         letters = "".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == "L")
         numbers = "".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == "N")
         self.split = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t\n\r {letters}{numbers}]+").findall
-        self.odd = re.compile("[^\t\n\r -~¡-ɏ]|[İ\xad]|<\\|").search
+        self.plain = np.zeros(0x251, dtype=bool)  # by code point; the last stands for all that follow
+        self.plain[[9, 10, 13, *range(0x20, 0x7F), *range(0xA1, 0x250)]] = True
+        self.plain[[0xAD, 0x130]] = False
 
     def learn(self, new: list[str]) -> None:
         """Cache words: encoded many at a time, parted where a token ends a word."""
@@ -62,17 +66,37 @@ class WordCodec:
         raw, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
         self.known.update(zip(new, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
+    def odd(self, texts: list[str]) -> list[bool]:
+        """Which texts go to the tokenizer itself."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum([len(t) for t in texts])
+        strange = np.searchsorted(ends, np.flatnonzero(~self.plain[np.minimum(points, 0x250)]), side="right")
+        found = np.zeros(len(texts), dtype=bool)
+        found[strange] = True
+        return [x or "<|" in t for x, t in zip(found.tolist(), texts, strict=True)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [None if self.odd(t) else self.split(t.lower()) for t in texts]
+        plain = [None if odd else self.split(t.lower()) for t, odd in zip(texts, self.odd(texts), strict=True)]
         if len(self.known) > self.words:
-            self.known = {}
-        self.learn(list(filterfalse(self.known.__contains__, set(chain.from_iterable(filter(None, plain))))))
+            self.known.clear()
         known = self.known.__getitem__
-        out = []
+        raw: list[bytes | None] = []
         for text, words in zip(texts, plain, strict=True):
-            raw = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if words is None else b"".join(map(known, words))
-            out.append(np.frombuffer(raw + LAST, dtype="<u4"))
-        return out
+            try:
+                raw.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if words is None else b"".join(map(known, words)))
+            except KeyError:
+                raw.append(None)
+        new = [words for words, ids in zip(plain, raw, strict=True) if ids is None]
+        self.learn(list(filterfalse(self.known.__contains__, set(chain.from_iterable(new)))))
+        return [np.frombuffer((b"".join(map(known, words)) if ids is None else ids) + LAST, dtype="<u4") for words, ids in zip(plain, raw, strict=True)]
+
+
+def codec_of(path: str) -> WordCodec:
+    """The codec that this worker made for an earlier task, or a new one; its cache stays bounded."""
+    held = sys.modules.setdefault("_trailmark_codecs", types.ModuleType("_trailmark_codecs")).__dict__
+    if path not in held:
+        held[path] = WordCodec(path)
+    return held[path]
 
 
 class Packer:
@@ -202,16 +226,19 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, m
         raise ValueError("capacity is a power of two")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, packer = codec_of(tokenizer_path), Packer(capacity, max_open, TaskContext.get().partitionId() << 36)
         gc.disable()  # lists of words hold no cycles, and there are many
-        codec, packer = WordCodec(tokenizer_path), Packer(capacity, max_open, TaskContext.get().partitionId() << 36)
-        for batch in batches:
-            for at in range(0, batch.num_rows, chunk):
-                part = batch.slice(at, chunk)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), codec.encode(texts), strict=True):
-                    packer.add(doc, ids)
-                if len(packer.rows) > 20_000:
-                    yield packer.take()
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, chunk):
+                    part = batch.slice(at, chunk)
+                    texts = [t or "" for t in part.column(1).to_pylist()]
+                    for doc, ids in zip(part.column(0).to_pylist(), codec.encode(texts), strict=True):
+                        packer.add(doc, ids)
+                    if len(packer.rows) > 20_000:
+                        yield packer.take()
+        finally:
+            gc.enable()  # the worker's next task may be another operator's
         packer.close(True)
         yield packer.take()
 
