@@ -75,6 +75,20 @@ def removed(texts, length):
         yield len(b), sum(mark), spans, sha256(rest).hexdigest()
 
 
+def passages(texts, length):
+    """Maximal runs covered by strings that other texts have too."""
+    held = defaultdict(set)
+    for n, b in enumerate(texts):
+        for i in range(len(b) - length + 1):
+            held[b[i : i + length]].add(n)
+    for b in texts:
+        mark = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if len(held[b[i : i + length]]) > 1:
+                mark[i : i + length] = b"\1" * length
+        yield sum(1 for i, m in enumerate(mark) if m and (i == 0 or not mark[i - 1]))
+
+
 @pytest.mark.parametrize(("contents", "shard"), [(1, 500), (1000, 10**6)])
 def test_repeats(spark, contents, shard):
     random.seed(contents)
@@ -82,8 +96,10 @@ def test_repeats(spark, contents, shard):
     texts = ["".join(random.choice("ab c") for _ in range(random.randrange(200))) + passage[random.randrange(100) : random.randrange(120, 300)] + "".join(random.choice("xyz") for _ in range(random.randrange(90))) for _ in range(40)]
     texts += [None, "", "aaaa" * 60, texts[0], texts[1]]
     df = documents(spark, texts)
-    got = suffix_dedup.remove_repeats(df, length=60, gram=8, shard=shard, contents=contents).orderBy("doc_id").collect()
-    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == list(removed([(t or "").encode() for t in texts], 60))
+    got = suffix_dedup.remove_repeats(df, length=60, passage=30, gram=8, shard=shard, contents=contents).orderBy("doc_id").collect()
+    data = [(t or "").encode() for t in texts]
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got] == list(removed(data, 60))
+    assert [r["n_passages"] for r in got] == list(passages(data, 30))
 
 
 def test_repeats_odd(spark, odd):

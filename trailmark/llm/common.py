@@ -93,14 +93,16 @@ def with_salts(winners: DataFrame, salts: int = 64) -> DataFrame:
     return winners.withColumn("salt", F.explode(F.expr(f"filter(sequence(0, {salts - 1}), s -> getbit(salts, s) = 1)"))).drop("salts")
 
 
-def likely_among(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id", bits: int = 2**23) -> DataFrame:
+def likely_among(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id", others: bool = False, bits: int = 2**23) -> DataFrame:
     """``rows`` without most of those whose id is not among ``ids``; every row whose id is there stays.
 
     A filter before a join on the id: a bitmap of hashed ids, whose size is ``bits`` at most whatever is marked, is
     broadcast.  The more ids there are, the more other rows pass; which rows the join finds doesn't change.
+    With ``others`` the rows that don't pass are given instead.
     """
     place = F.pmod(F.xxhash64(F.lit(53), F.col(id_col).cast("long")), F.lit(bits))
     word, bit = F.shiftright("__place", 6), F.expr("cast(__place & 63 AS int)")
     marked = ids.select(place.alias("__place")).groupBy(word.alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__place & 63 AS int))")).alias("__bits"))
     tried = rows.withColumn("__place", place).withColumn("__word", word)
-    return tried.join(F.broadcast(marked), "__word").filter(F.getbit("__bits", bit) == 1).drop("__word", "__place", "__bits")
+    found = tried.join(F.broadcast(marked), "__word", "left") if others else tried.join(F.broadcast(marked), "__word")
+    return found.filter(F.coalesce(F.getbit("__bits", bit), F.lit(0)) == (0 if others else 1)).drop("__word", "__place", "__bits")

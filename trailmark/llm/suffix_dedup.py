@@ -3,15 +3,16 @@
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else.  The work is dealt so that
 equal strings meet without comparing everything with everything:
 
-* *Anchors.*  Each string of ``length`` bytes picks the least hashed ``gram`` bytes in it (the first of equals), so
-  equal strings pick equal anchors.  The starts that pick one anchor are a run; the bytes of their strings are its
-  segment.  A string can only repeat if its anchor does, so anchors are counted, map-side first, and only segments
-  of repeated anchors go on.  Copies of a segment are one segment with a weight; where an anchor has one content
-  only, its weight decides.
+* *Anchors.*  Each string of ``passage`` bytes picks the least hashed ``gram`` bytes in it (the first of equals), so
+  equal strings, and longer ones that begin with them, pick equal anchors.  The starts that pick one anchor are a
+  run; the bytes of the ``length``-byte strings there are its segment.  A string can only repeat if its anchor does,
+  so anchors are counted, map-side first, and only segments of repeated anchors go on.  Copies of a segment are one
+  segment with a weight; where an anchor has one content only, its weight decides.
 * *Shards.*  The other segments meet by anchor in shards of about ``shard`` bytes.  A shard sorts its suffixes by
   Larsson-Sadakane refinement: ranks by eight bytes, then doubled depth among the groups that are still unsorted,
   until the depth passes ``length``.  Kasai's pass gives the common prefixes of neighbours; neighbours that share
-  ``length`` bytes are one string, and its occurrences are weighed.
+  ``length`` bytes are one string, and its occurrences are weighed.  Neighbours that share ``passage`` bytes are one
+  passage, which counts where it occurs in several documents.
 * *Merging.*  An anchor with more contents than a shard takes is dealt to several.  Each passes its distinct
   strings on in sorted order, cut into ranges, and a range finds strings of one shard in the others by binary search.
 
@@ -31,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import id_texts, parallelism, stored
+from trailmark.llm.common import id_texts, likely_among, parallelism, stored, with_salts
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long"
 ANCHORS = "h long, d1 long, d2 long, doc_id long, rid long, lo int, starts int"
-STRINGS = np.dtype([("x", "<u8"), ("y", "<u8"), ("d1", "<i8"), ("d2", "<i8"), ("start", "<i4"), ("found", "u1")])
+#: A string of a segment: digest, segment, start there, 1 for a passage, the document, and whether it is known to occur again.
+STRINGS = np.dtype([("x", "<u8"), ("y", "<u8"), ("d1", "<i8"), ("d2", "<i8"), ("start", "<i4"), ("wide", "u1"), ("rid", "<i8"), ("found", "u1")])
+SALTS = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -153,29 +156,48 @@ def common_prefixes(order: np.ndarray, rank: np.ndarray, eight: np.ndarray, most
     return out
 
 
-def repeated_starts(segments: list[bytes], weights: list[int], length: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each segment: the starts whose string occurs again, by weight.
+def repeated_starts(
+    segments: list[bytes], starts: list[int], weights: list[int], rids: list[int], many: list[bool], length: int, passage: int
+) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """For each segment: its own starts whose string occurs again by weight, and those whose passage occurs in another document.
 
-    Also, of every distinct string in sorted order: its segment, its start there, and whether it occurs again.
+    Also, in sorted order, segment, start, 1 for a passage and whether it counts, of every distinct string and passage,
+    and of every place of a passage that doesn't count.  ``rids`` name a segment's document, ``many`` tells of a segment
+    that several documents hold.
     """
     data = np.frombuffer(b"".join(segments), np.uint8)
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(len(segments)), sizes)
+    begins = ends - sizes
     order, rank, eight = suffix_order(data, length)
     shared = common_prefixes(order, rank, eight, length)
-    whole = (order + length <= ends[owner[order]])  # strings, not what runs on into the next segment
+    owner = np.repeat(np.arange(len(segments)), sizes)[order]
+    place = order - begins[owner]
+    own = place < np.array(starts)[owner]
+    whole = own & (order + length <= ends[owner])  # strings, not what runs on into the next segment
     group = np.cumsum(shared < length) - 1
-    weight = np.bincount(group[whole], weights=np.array(weights)[owner[order[whole]]], minlength=group[-1] + 1)
+    weight = np.bincount(group[whole], weights=np.array(weights)[owner[whole]], minlength=group[-1] + 1)
     again = weight[group] >= 2
-    marked = np.zeros(len(data), bool)
-    marked[order[whole & again]] = True
-    begins = ends - sizes
-    found = [np.flatnonzero(marked[b:e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-    slots = np.flatnonzero(whole)
-    slots = slots[np.concatenate(([True], group[slots][1:] != group[slots][:-1]))] if len(slots) else slots
-    places = order[slots]
-    return found, np.column_stack((owner[places], places - begins[owner[places]])), again[slots]
+    wide = own & (order + passage <= ends[owner])
+    part = np.cumsum(shared < passage) - 1
+    rid = np.array(rids, np.int64)[owner[wide]]
+    least, most = np.full(part[-1] + 1, np.iinfo(np.int64).max), np.full(part[-1] + 1, np.iinfo(np.int64).min)
+    np.minimum.at(least, part[wide], rid)
+    np.maximum.at(most, part[wide], rid)
+    held = np.bincount(part[wide], weights=np.array(many, float)[owner[wide]], minlength=part[-1] + 1) > 0
+    apart = (held | (least < most))[part]
+    found = []
+    for mask in (whole & again, wide & apart):
+        marked = np.zeros(len(data), bool)
+        marked[order[mask]] = True
+        found.append([np.flatnonzero(marked[b:e]) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)])
+    strings = []
+    for mask, groups, hit, kind in ((whole, group, again, 0), (wide, part, apart, 1)):
+        slots = np.flatnonzero(mask)
+        if len(slots):
+            slots = slots[np.concatenate(([True], groups[slots][1:] != groups[slots][:-1])) | ((kind == 1) & ~hit[slots])]
+        strings.append(np.column_stack((owner[slots], place[slots], np.full(len(slots), kind), hit[slots])))
+    return found[0], found[1], np.concatenate(strings)
 
 
 def _runs(starts: np.ndarray) -> list[int]:
@@ -191,7 +213,7 @@ def _rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
         yield from zip(*(batch.column(i).to_pylist() for i in range(n)), strict=True)
 
 
-def _find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _find_anchors(docs: DataFrame, length: int, passage: int, gram: int) -> DataFrame:
     names = [x.split()[0] for x in ANCHORS.split(", ")]
     kinds = [pa.int64()] * 5 + [pa.int32()] * 2
 
@@ -200,9 +222,9 @@ def _find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
             parts: list[tuple] = []
             for doc, rid, text in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data = (text or "").encode()
-                h, lo, starts = anchors(data, length, gram)
+                h, lo, starts = anchors(data, passage, gram)
                 if len(h):
-                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + s + length - 1]) for a, s in zip(lo.tolist(), starts.tolist(), strict=True)), "<i8").reshape(-1, 2)
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(data[a : a + n + length - 1], n) for a, n in zip(lo.tolist(), starts.tolist(), strict=True)), "<i8").reshape(-1, 2)
                     parts.append((h, digests[:, 0], digests[:, 1], [doc.as_py()] * len(h), np.full(len(h), rid), lo, starts))
             if parts:
                 columns = [np.concatenate([p[i] for p in parts]) if i != 3 else [d for p in parts for d in p[3]] for i in range(7)]
@@ -211,118 +233,159 @@ def _find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32, shard: int = 500_000, contents: int = 1024) -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``, and ``spans`` as first, end, ...
+def _salted(rows: DataFrame, keys: list[str], salt: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a salt, and ``keys, m, salts``: how many rows a key has and their salts as bits (counted map-side first)."""
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(23), salt), F.lit(SALTS)).cast("int"))
+    return rows, rows.groupBy(*keys).agg(F.count("*").alias("m"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 256, gram: int = 32, shard: int = 500_000, contents: int = 1024) -> DataFrame:
+    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages``, and ``spans`` as first, end, ...
 
     Texts are UTF-8 bytes, read whole; a null text is empty, and texts under ``length`` bytes lose nothing.
     Strings never cross documents.  A row repeated with its id is one more document with the same text, so all its
     strings repeat.  Null ids are carried along.  An empty table gives an empty result.
+    ``n_passages`` counts the maximal runs of bytes covered by strings of ``passage`` bytes (at most ``length``) that
+    other documents have too, whether they are long enough to be removed or not; rows repeated with their id are one
+    document there.
     """
+    if not gram <= passage <= length:
+        raise ValueError("gram is at most passage, and passage at most length")
     spark = docs.sparkSession
     texts = id_texts(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("rid"), "text")
-    every = stored(_find_anchors(texts.filter(F.octet_length("text") >= length), length, gram), "sa-anchors")
-    content = ["h", "d1", "d2", "starts"]
-    twice = every.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-    found = stored(every.join(twice.select("h"), "h", "left_semi"), "sa-repeated", instead_of=every)
-    by_content = found.groupBy(*content).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "rid", "lo")).alias("at"))
-    by_content = stored(by_content.select(*content, "n", "at.doc_id", "at.rid", "at.lo"), "sa-contents")
-    by_anchor = by_content.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-    mixed = by_content.join(by_anchor, "h").select(*content, "n", "doc_id", "rid", "lo", F.expr(f"ceil(k / {contents})").alias("parts"))
-    mixed = mixed.withColumn("part", F.expr("pmod(xxhash64(41, d1), parts)"))
-    asked = mixed.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("h", "part", "parts", "d1", "d2", "n", "lo", "starts")).alias("segments"))
+    every = stored(_find_anchors(texts.filter(F.octet_length("text") >= passage), length, passage, gram), "sa-anchors")
+    salted, twice = _salted(every, ["h"], "rid")
+    twice = with_salts(twice.filter("m > 1").select("h", "salts"), SALTS)
+    found = stored(salted.join(twice, ["h", "salt"], "left_semi"), "sa-repeated", instead_of=every)
+    content = ["h", "d1", "d2"]
+    held = F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"), F.min(F.struct("doc_id", "rid", "lo", "starts")).alias("at"), F.max(F.struct("doc_id", "rid")).alias("far")
+    by_content = found.groupBy(*content).agg(*held)
+    several = ~(F.col("at.doc_id").eqNullSafe(F.col("far.doc_id")) & (F.col("at.rid") == F.col("far.rid")))
+    by_content = stored(by_content.select(*content, "n", "salts", several.alias("many"), "at.doc_id", "at.rid", "at.lo", "at.starts"), "sa-contents")
+    keyed, by_anchor = _salted(by_content.withColumnRenamed("salts", "held"), ["h"], "d1")
+    by_anchor = with_salts(by_anchor.filter("m > 1").select("h", F.expr(f"ceil(m / {contents})").alias("parts"), "salts"), SALTS)
+    mixed = keyed.join(by_anchor, ["h", "salt"]).select(*content, "n", "many", "held", "doc_id", "rid", "lo", "starts", "parts", F.expr("pmod(xxhash64(41, d1), parts)").alias("part"))
+    asked = mixed.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("h", "part", "parts", "d1", "d2", "n", "many", "held", "lo", "starts")).alias("segments"))
+    asked = stored(asked, "sa-asked")
+    segment = ["h", "part", "parts", "d1", "d2", "n", "held", "rid", "starts", "many", "data"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for segments, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for rid, segments, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = text.encode()
-                out.extend((s["h"], s["part"], s["parts"], s["d1"], s["d2"], s["n"], data[s["lo"] : s["lo"] + s["starts"] + length - 1]) for s in segments)
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.binary())], names=["h", "part", "parts", "d1", "d2", "n", "data"])
+                out.extend((*(x[k] for k in segment[:7]), rid, x["starts"], x["many"], data[x["lo"] : x["lo"] + x["starts"] + length - 1]) for x in segments)
+            columns = list(zip(*out, strict=True)) or [()] * len(segment)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:9]] + [pa.array(columns[9], pa.bool_()), pa.array(columns[10], pa.binary())], names=segment)
 
     same = F.col("a.rid").eqNullSafe(F.col("t.rid")) & F.col("a.doc_id").eqNullSafe(F.col("t.doc_id"))
-    segments = asked.alias("a").join(texts.alias("t"), same).select("a.segments", "t.text").mapInArrow(cut, "h long, part long, parts long, d1 long, d2 long, n long, data binary")
+    cut_schema = ", ".join(f"{x} long" for x in segment[:9]) + ", many boolean, data binary"
+    segments = asked.alias("a").join(likely_among(texts, asked, "rid").alias("t"), same).select("a.rid", "a.segments", "t.text").mapInArrow(cut, cut_schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        kept: list[tuple] = []
         size = 0
-        for _, rows in groupby(_rows(batches, 7), key=itemgetter(0, 1)):
+        for _, rows in groupby(_rows(batches, len(segment)), key=itemgetter(0, 1)):
             group = list({(r[3], r[4]): r for r in rows}.values())
-            held += group
-            size += sum(len(r[6]) for r in group)
+            kept += group
+            size += sum(len(r[10]) for r in group)
             if size >= shard:
-                yield _search(held)
-                held, size = [], 0
-        if held:
-            yield _search(held)
+                yield _search(kept)
+                kept, size = [], 0
+        if kept:
+            yield _search(kept)
 
     def _search(rows: list[tuple]) -> pa.RecordBatch:
-        found, strings, again = repeated_starts([r[6] for r in rows], [r[5] for r in rows], length)
-        out: list[tuple] = [(r[0], r[3], r[4], _runs(f), None, None) for r, f in zip(rows, found, strict=True) if len(f)]
+        found, wide, strings = repeated_starts([r[10] for r in rows], [r[8] for r in rows], [r[5] for r in rows], [r[7] for r in rows], [r[9] for r in rows], length, passage)
+        # What a content's own copies show is known already.
+        out: list[tuple] = [(r[0], r[3], r[4], r[6], [] if r[5] > 1 else _runs(f), [] if r[9] else _runs(w), None, None) for r, f, w in zip(rows, found, wide, strict=True) if (r[5] == 1 and len(f)) or (not r[9] and len(w))]
         shared: dict[tuple[int, int], list] = {}
         parted = np.array([r[2] > 1 for r in rows])[strings[:, 0]]
-        for (i, start), hit in zip(strings[parted].tolist(), again[parted].tolist(), strict=True):
-            digest = xxhash.xxh3_128_digest(rows[i][6][start : start + length])
+        for i, start, kind, hit in strings[parted].tolist():
+            r = rows[i]
+            digest = xxhash.xxh3_128_digest(r[10][start : start + (passage if kind else length)])
             x, y = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
-            shared.setdefault((rows[i][0], x * rows[i][2] >> 64), []).append((x, y, rows[i][3], rows[i][4], start, hit))
+            shared.setdefault((r[0], x * r[2] >> 64), []).append((x, y, r[3], r[4], start, kind, r[7], hit))
         for (h, bucket), items in shared.items():
-            out.append((h, None, None, None, bucket, np.sort(np.array(items, STRINGS), order=["x", "y"]).tobytes()))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "d1", "d2", "runs", "bucket", "strings"])
-
-    schema = "h long, d1 long, d2 long, runs array<int>, bucket long, strings binary"
+            out.append((h, None, None, None, None, None, bucket, np.sort(np.array(items, STRINGS), order=["x", "y"]).tobytes()))
+        # Of a part's contents the merge sends on what it finds, so it needs to know their salts.
+        out.extend((r[0], r[3], r[4], r[6], [], [], None, None) for r in rows if r[2] > 1)
+        columns = list(zip(*out, strict=True)) or [()] * 8
+        kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 2 + [pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "d1", "d2", "held", "runs", "wide", "bucket", "strings"])
+
+    schema = "h long, d1 long, d2 long, held long, runs array<int>, wide array<int>, bucket long, strings binary"
     n = parallelism(spark)
     searched = stored(segments.repartition(n, "h", "part").sortWithinPartitions("h", "part").mapInArrow(search, schema), "sa-found")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (h, _), rows in groupby(_rows(batches, 3), key=itemgetter(0, 1)):
             shards = [np.frombuffer(r[2], STRINGS) for r in rows]
-            out: dict[tuple[int, int], list[int]] = {}
+            pool = np.concatenate(shards)
+            shard_of = np.repeat(np.arange(len(shards)), [len(x) for x in shards])
+            order = np.argsort(pool["x"], kind="stable")
+            pool, shard_of = pool[order], shard_of[order]
+            out: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
             for i, own in enumerate(shards):
+                own = own[own["found"] == 0]
                 hit = np.zeros(len(own), bool)
-                for other in shards[:i] + shards[i + 1 :]:
-                    # x is all but unique, so few steps remain where it is not
-                    at = np.searchsorted(other["x"], own["x"])
-                    stop = np.searchsorted(other["x"], own["x"], side="right")
-                    while (live := np.flatnonzero(at < stop)).size:
-                        hit[live] |= other["y"][at[live]] == own["y"][live]
-                        at[live] += 1
-                for row in own[hit & (own["found"] == 0)]:
-                    out.setdefault((int(row["d1"]), int(row["d2"])), []).append(int(row["start"]))
-            items = [(h, d1, d2, _runs(np.array(sorted(s)))) for (d1, d2), s in out.items()]
-            columns = list(zip(*items, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())], strict=True)], names=["h", "d1", "d2", "runs"])
+                at = np.searchsorted(pool["x"], own["x"])
+                stop = np.searchsorted(pool["x"], own["x"], side="right")
+                while (live := np.flatnonzero((at < stop) & ~hit)).size:
+                    other, mine = pool[at[live]], own[live]
+                    equal = (other["y"] == mine["y"]) & (other["wide"] == mine["wide"]) & (shard_of[at[live]] != i)
+                    hit[live] = equal & ((mine["wide"] == 0) | (other["found"] == 1) | (other["rid"] != mine["rid"]))
+                    at[live] += 1
+                for row in own[hit]:
+                    out.setdefault((int(row["d1"]), int(row["d2"])), ([], []))[int(row["wide"])].append(int(row["start"]))
+            items = [(h, d1, d2, _runs(np.array(sorted(set(a)))), _runs(np.array(sorted(set(b))))) for (d1, d2), (a, b) in out.items()]
+            columns = list(zip(*items, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.list_(pa.int32())] * 2, strict=True)], names=[*content, "runs", "wide"])
 
     ranges = searched.filter("bucket IS NOT NULL").select("h", "bucket", "strings").repartition(n, "h", "bucket").sortWithinPartitions("h", "bucket")
-    merged = ranges.mapInArrow(merge, "h long, d1 long, d2 long, runs array<int>")
-    partly = searched.filter("bucket IS NULL").select("h", "d1", "d2", "runs").unionByName(merged)
-    wholly = by_content.filter("n > 1").select("h", "d1", "d2", F.array(F.lit(0), F.col("starts") - 1).alias("runs"))
-    marks = wholly.unionByName(partly.join(wholly.select("h", "d1", "d2"), ["h", "d1", "d2"], "left_anti"))
-    hits = found.join(marks, ["h", "d1", "d2"]).select("doc_id", "rid", F.expr("transform(runs, x -> x + lo)").alias("runs"))
-    per_doc = hits.groupBy("doc_id", "rid").agg(F.flatten(F.collect_list("runs")).alias("runs")).withColumnRenamed("rid", "hit_rid").withColumnRenamed("doc_id", "hit_id")
-    joined = texts.join(per_doc, F.col("rid").eqNullSafe(F.col("hit_rid")) & F.col("doc_id").eqNullSafe(F.col("hit_id")), "left").select("doc_id", "text", "runs")
+    none, to_last = F.expr("cast(array() AS array<int>)"), F.array(F.lit(0), F.col("starts") - 1)
+    marks = searched.filter("bucket IS NULL").select(*content, "held", "runs", "wide")
+    merged = ranges.mapInArrow(merge, "h long, d1 long, d2 long, runs array<int>, wide array<int>").join(marks.select(*content, "held").distinct(), content).select(*marks.columns)
+    # Strings of a copied content all repeat; starts too near a text's end to have a string of the full length are left out below.
+    wholly = by_content.filter("n > 1").select(*content, F.col("salts").alias("held"), to_last.alias("runs"), F.when(F.col("many"), to_last).otherwise(none).alias("wide"))
+    marks = wholly.unionByName(marks).unionByName(merged).filter("size(runs) > 0 OR size(wide) > 0").withColumnRenamed("held", "salts")
+    hits = found.join(with_salts(marks, SALTS), ["salt", *content]).select("doc_id", "rid", F.expr("transform(runs, x -> x + lo)").alias("runs"), F.expr("transform(wide, x -> x + lo)").alias("wide"))
+    per_doc = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("rid").alias("hit_rid")).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("wide")).alias("wide"))
+    per_doc = stored(per_doc, "sa-hits", instead_of=found)
+    on = F.col("rid").eqNullSafe(F.col("hit_rid")) & F.col("doc_id").eqNullSafe(F.col("hit_id"))
+    hit_rids = per_doc.select(F.col("hit_rid").alias("rid"))
+    joined = likely_among(texts, hit_rids, "rid").join(per_doc, on, "left").select("doc_id", "text", "runs", "wide")
+    # Most texts hold nothing that repeats: they are not shuffled.
+    joined = joined.unionByName(likely_among(texts, hit_rids, "rid", others=True).select("doc_id", "text", none.alias("runs"), none.alias("wide")))
+
+    def covered(runs: list[int] | None, width: int, size: int) -> list[int]:
+        """first, end, first, end, ... of what strings of ``width`` at these starts cover."""
+        spans: list[int] = []
+        for a, b in sorted(zip((runs or [])[::2], (runs or [])[1::2], strict=True)):
+            b = min(b, size - width)
+            if a > b:
+                continue
+            if spans and a <= spans[-1]:
+                spans[-1] = max(spans[-1], b + width)
+            else:
+                spans += [a, b + width]
+        return spans
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RESULT.split(", ")] + ["spans"]
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int32())]
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64(), pa.list_(pa.int32())]
         for batch in batches:
             out = []
-            for doc, text, runs in _rows([batch], 3):
+            for doc, text, runs, wide in _rows([batch], 4):
                 data = (text or "").encode()
-                spans: list[int] = []
-                for a, b in sorted(zip((runs or [])[::2], (runs or [])[1::2], strict=True)):
-                    if spans and a <= spans[-1]:
-                        spans[-1] = max(spans[-1], b + length)
-                    else:
-                        spans += [a, b + length]
+                spans = covered(runs, length, len(data))
                 kept, at = [], 0
                 for a, b in zip(spans[::2], spans[1::2], strict=True):
                     kept.append(data[at:a])
                     at = b
                 rest = b"".join([*kept, data[at:]])
-                out.append((doc, len(data), len(data) - len(rest), len(spans) // 2, sha256(rest).hexdigest(), spans))
-            columns = list(zip(*out, strict=True)) or [()] * 6
+                out.append((doc, len(data), len(data) - len(rest), len(spans) // 2, sha256(rest).hexdigest(), len(covered(wide, passage, len(data))) // 2, spans))
+            columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return joined.mapInArrow(remove, f"{RESULT}, spans array<int>")
