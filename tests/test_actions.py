@@ -39,7 +39,7 @@ def test_actions(spark):
         (5, 0, "edit", None, "workspace", "ok", None),
         (7, 0, "shell", "cd", "none", "error", "exit"),
         (7, 1, "test", "pytest", "none", "error", "test_failed"),
-        (9, 0, "vcs", "git", "remote", "unanswered", None),
+        (9, 0, "vcs", "git", "destructive", "unanswered", None),
     ]
     kinds = {(r["kind"], r["later"], r["earlier"]) for r in R.relations(made).collect()}
     assert {("seen", 1, 0), ("seen", 2, 0), ("reedit", 2, 1), ("retry", 2, 1), ("verify", 4, 2)} <= kinds

@@ -9,15 +9,20 @@ from trailmark.sources import adapters as A
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("cd src && pytest -q tests/ | tail -5", [("cd", None, "shell", "none", "first"), ("pytest", None, "test", "none", "and"), ("tail", None, "read", "none", "pipe")]),
-        ("git checkout -- a.py; git push --force", [("git", "checkout", "vcs", "destructive", "first"), ("git", "push", "vcs", "remote", "seq")]),
+        ("cd lib && ruff check . | head -3", [("cd", None, "shell", "none", "first"), ("ruff", None, "build", "none", "and"), ("head", None, "inspect", "none", "pipe")]),
+        ("git push -f up b; git push up b", [("git", "push", "vcs", "destructive", "first"), ("git", "push", "vcs", "remote", "seq")]),
+        ("git checkout -q . && git checkout topic", [("git", "checkout", "vcs", "destructive", "first"), ("git", "checkout", "vcs", "workspace", "and")]),
         ("sudo -u root apt-get install -y x", [("apt-get", None, "install", "environment", "first")]),
-        ("timeout 10 uv run pytest", [("pytest", None, "test", "none", "first")]),
-        ("echo a > out.txt", [("echo", None, "edit", "workspace", "first")]),
-        ("echo a > /dev/null", [("echo", None, "shell", "none", "first")]),
-        ("bash -c 'rm -rf /tmp/x'", [("bash", None, "run", "unknown", "first"), ("rm", None, "delete", "destructive", "first")]),
-        ("cat <<EOF\nrm x\nEOF\nls", [("cat", None, "read", "none", "first"), ("ls", None, "inspect", "none", "seq")]),
-        ("python -m pytest tests", [("python", "pytest", "test", "none", "first")]),
+        ("nice -n 3 poetry run tox -e py", [("tox", None, "test", "none", "first")]),
+        ("printf a > out.txt", [("printf", None, "inspect", "workspace", "first")]),
+        ("printf a > /dev/null", [("printf", None, "inspect", "none", "first")]),
+        ("sh -c 'rmdir /tmp/x'", [("sh", None, "run", "unknown", "first"), ("rmdir", None, "edit", "destructive", "first")]),
+        ("cat <<EOF\nrm x\nEOF\nls", [("cat", None, "inspect", "none", "first"), ("ls", None, "inspect", "none", "seq")]),
+        ("python -m unittest -v", [("python", "unittest", "test", "none", "first")]),
+        ("yarn run lint; bun add left; go vet ./...", [("yarn", "run lint", "build", "none", "first"), ("bun", "add", "install", "environment", "seq"), ("go", "vet", "build", "workspace", "seq")]),
+        ("gh issue list; gh issue close 4; gh api -f a=b repos", [("gh", "issue list", "network", "none", "first"), ("gh", "issue close", "network", "remote", "seq"), ("gh", "api", "network", "remote", "seq")]),
+        ("curl -d a=b u; curl u", [("curl", None, "network", "remote", "first"), ("curl", None, "network", "none", "seq")]),
+        ("frobnicate -x", [("frobnicate", None, "other", "unknown", "first")]),
     ],
 )
 def test_shell(text, want):
@@ -30,6 +35,18 @@ def test_shell_nesting_and_force():
     assert found[1].forced and not found[0].forced
 
 
+def test_shell_descriptions():
+    (found,) = shell.parse("sudo env A=1 sed -n -e s/a/b/ one.txt > two.txt")
+    assert (found.wrappers, found.flags, found.operands, found.paths, found.known) == (["sudo", "env"], ["-n", "-e"], ["s/a/b/", "one.txt"], ["one.txt", "two.txt"], True)
+    (found,) = shell.parse("git -C sub reset --hard -q v1 ./x.py")
+    assert (found.options, found.forced, found.effect, found.paths) == ({"-C": "sub"}, True, "destructive", ["./x.py"])
+    (found,) = shell.parse("cp -rf a b")
+    assert found.forced and found.paths == ["a", "b"]
+    shell.know("build none -: frobcheck", "frobcheck: test none: unit", "forced frobcheck unit: --now")
+    (found,) = shell.parse("frobcheck unit --now")
+    assert (found.subcommand, found.act, found.forced) == ("unit", "test", True)
+
+
 @pytest.mark.parametrize("text", ["echo 'open", "echo $(ls", "if true; then ls", "fi", "ls )"])
 def test_shell_errors(text):
     with pytest.raises(shell.ShellError):

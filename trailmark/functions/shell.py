@@ -9,38 +9,181 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SEVERITY = {"none": 0, "workspace": 1, "unknown": 1, "environment": 2, "history": 3, "destructive": 4, "remote": 5}
-
-# What well-known programs do, from their manuals: program -> (act, effect).
-PROGRAMS: dict[str, tuple[str, str]] = {
-    "cat": ("read", "none"), "head": ("read", "none"), "tail": ("read", "none"), "less": ("read", "none"), "more": ("read", "none"), "wc": ("inspect", "none"),
-    "ls": ("inspect", "none"), "stat": ("inspect", "none"), "file": ("inspect", "none"), "du": ("inspect", "none"), "df": ("inspect", "none"), "pwd": ("inspect", "none"), "tree": ("inspect", "none"), "which": ("inspect", "none"), "diff": ("inspect", "none"),
-    "grep": ("search", "none"), "rg": ("search", "none"), "ag": ("search", "none"), "find": ("search", "none"), "fd": ("search", "none"), "locate": ("search", "none"),
-    "sed": ("read", "none"), "awk": ("read", "none"), "sort": ("read", "none"), "uniq": ("read", "none"), "cut": ("read", "none"), "jq": ("read", "none"), "tee": ("edit", "workspace"),
-    "touch": ("create", "workspace"), "mkdir": ("create", "workspace"), "cp": ("create", "workspace"), "mv": ("edit", "workspace"), "ln": ("create", "workspace"), "chmod": ("edit", "workspace"), "patch": ("edit", "workspace"),
-    "rm": ("delete", "destructive"), "rmdir": ("delete", "destructive"), "dd": ("edit", "destructive"), "truncate": ("edit", "destructive"),
-    "pytest": ("test", "none"), "tox": ("test", "none"), "jest": ("test", "none"), "vitest": ("test", "none"), "ctest": ("test", "none"),
-    "make": ("build", "workspace"), "cmake": ("build", "workspace"), "gcc": ("build", "workspace"), "tsc": ("build", "workspace"), "ninja": ("build", "workspace"),
-    "pip": ("install", "environment"), "pip3": ("install", "environment"), "apt": ("install", "environment"), "apt-get": ("install", "environment"), "brew": ("install", "environment"),
-    "python": ("run", "unknown"), "python3": ("run", "unknown"), "node": ("run", "unknown"), "bash": ("run", "unknown"), "sh": ("run", "unknown"), "ruby": ("run", "unknown"),
-    "curl": ("network", "none"), "wget": ("network", "workspace"), "ssh": ("network", "remote"), "scp": ("network", "remote"), "rsync": ("network", "remote"), "ping": ("network", "none"),
-    "kill": ("process", "environment"), "pkill": ("process", "environment"), "ps": ("process", "none"), "top": ("process", "none"), "sleep": ("wait", "none"), "wait": ("wait", "none"),
-    "cd": ("shell", "none"), "echo": ("shell", "none"), "printf": ("shell", "none"), "export": ("shell", "none"), "set": ("shell", "none"), "source": ("shell", "none"), "true": ("shell", "none"), "false": ("shell", "none"), "test": ("shell", "none"), "[": ("shell", "none"),
-}
-# The same by subcommand.
-SUBCOMMANDS: dict[tuple[str, str], tuple[str, str]] = {
-    ("git", "status"): ("vcs", "none"), ("git", "log"): ("vcs", "none"), ("git", "diff"): ("vcs", "none"), ("git", "show"): ("vcs", "none"), ("git", "blame"): ("vcs", "none"), ("git", "branch"): ("vcs", "none"), ("git", "fetch"): ("vcs", "none"),
-    ("git", "add"): ("vcs", "history"), ("git", "commit"): ("vcs", "history"), ("git", "merge"): ("vcs", "history"), ("git", "rebase"): ("vcs", "history"), ("git", "pull"): ("vcs", "history"), ("git", "tag"): ("vcs", "history"),
-    ("git", "checkout"): ("vcs", "destructive"), ("git", "restore"): ("vcs", "destructive"), ("git", "reset"): ("vcs", "destructive"), ("git", "clean"): ("vcs", "destructive"), ("git", "stash"): ("vcs", "destructive"), ("git", "push"): ("vcs", "remote"),
-    ("npm", "test"): ("test", "none"), ("npm", "install"): ("install", "environment"), ("npm", "ci"): ("install", "environment"), ("npm", "run"): ("run", "unknown"), ("npm", "publish"): ("network", "remote"),
-    ("cargo", "test"): ("test", "none"), ("cargo", "build"): ("build", "workspace"), ("cargo", "run"): ("run", "unknown"), ("go", "test"): ("test", "none"), ("go", "build"): ("build", "workspace"), ("make", "test"): ("test", "none"),
-    ("docker", "ps"): ("process", "none"), ("docker", "run"): ("run", "environment"), ("docker", "push"): ("network", "remote"), ("gh", "pr"): ("network", "remote"), ("pip", "list"): ("inspect", "none"),
-}
-# Words that run the command after them; options of theirs that take a value.
-WRAPPERS = {"sudo": ("-u",), "env": (), "time": (), "nohup": (), "timeout": (), "nice": ("-n",), "xargs": ("-n", "-I"), "stdbuf": (), "exec": (), "command": ()}
-RUNNERS = {("uv", "run"), ("poetry", "run"), ("npx",), ("pipenv", "run")}
-MODULES = {"pytest": ("test", "none"), "unittest": ("test", "none"), "pip": ("install", "environment"), "build": ("build", "workspace")}
-FORCING = {"-f", "--force", "-rf", "-fr", "--hard", "--no-verify", "--force-with-lease"}
+# Fixed values, from here to MODULES: acts and effects, how grave an effect is, and what well-known programs do.
+SEVERITY = {"none": 0, "workspace": 1, "environment": 2, "history": 3, "destructive": 4, "remote": 5, "unknown": 1}
+
+#: act, effect and the first operand that is a path (- where none is) of programs; ``know`` adds others.
+PROGRAMS = """
+inspect none 0: basename cat cmp cut df diff dirname du fd file find head jq less ls md5sum more readlink realpath sha256sum sort stat strings tail tar tee tr tree uniq unzip wc xxd yq
+inspect none 1: ag awk egrep fgrep grep perl rg sed xargs
+inspect none -: [ [[ base64 date echo env expr false hostname id lsof man printenv printf ps pwd seq test top true type uname which whoami
+edit workspace 0: cp gunzip gzip install ln mkdir mv patch touch zip
+edit workspace 1: chmod chown
+edit workspace -: mktemp
+edit destructive 0: rm rmdir shred truncate
+edit destructive -: dd
+test none -: ctest jest mocha nox playwright pytest rspec tox unittest vitest
+build none -: eslint flake8 mypy pylint pyright ruff shellcheck tsc
+build workspace -: ant bazel black cargo clang cmake g++ gcc go gradle isort javac just make mvn ninja pandoc prettier rustc tsx vite webpack
+install environment -: apk apt apt-get brew bun bundle conda dnf gem mise npm pip pip3 pipx pnpm rustup yarn yum
+run unknown -: bash deno docker hatch java mysql node npx pdm php poetry psql python python3 ruby sh sqlite3 uv uvicorn uvx zsh
+network none -: curl dig gh nc ping wget
+network unknown -: aws az gcloud helm kubectl ssh terraform
+network remote -: heroku netlify scp sftp vercel
+network workspace 0: rsync
+process none -: bg fg sleep timeout tmux wait watch
+process environment -: kill killall pkill systemctl
+shell none -: . : alias break cd command continue declare eval exec exit export local nice nohup popd pushd read return set shift source sudo time trap umask unset
+vcs none -: git
+vcs unknown -: hg svn
+"""
+
+#: The same by subcommand; names of several programs are parted by a bar.
+SUBCOMMANDS = """
+git: vcs none: archive blame cat-file config describe diff fetch format-patch grep help log ls-files ls-remote ls-tree merge-base reflog remote rev-list rev-parse shortlog show status version
+git: vcs workspace: add apply bisect branch checkout clone init mv stash submodule switch worktree
+git: vcs history: am cherry-pick commit merge notes pull rebase reset revert tag
+git: vcs destructive: clean filter-branch gc restore rm
+git: vcs remote: push
+gh: network none: api browse issue pr release repo run search workflow
+gh: network environment: auth
+gh issue|gh pr: network none: checks diff list status view
+gh issue|gh pr: network remote: close comment create delete edit merge ready reopen review
+gh pr|gh repo: vcs workspace: checkout clone
+gh release|gh repo|gh run|gh workflow: network none: download list view watch
+gh release|gh repo|gh run|gh workflow: network remote: cancel create delete disable edit enable fork rerun run sync upload
+bun|npm|pnpm|yarn: install environment: add ci i install link remove rm un uninstall up update upgrade
+bun|npm|pnpm|yarn: test none: t test
+bun|npm|pnpm|yarn: build workspace: build
+bun|npm|pnpm|yarn: build none: lint
+bun|npm|pnpm|yarn: inspect none: audit info list ls outdated view why
+bun|npm|pnpm|yarn: run unknown: dlx exec run x
+bun|npm|pnpm|yarn: edit workspace: init
+bun|npm|pnpm|yarn: network remote: publish
+bun run|npm run|pnpm run|yarn run: test none: test
+bun run|npm run|pnpm run|yarn run: build workspace: build format
+bun run|npm run|pnpm run|yarn run: build none: check lint typecheck
+cargo: install environment: add install remove rm update
+cargo: test none: nextest test
+cargo: build workspace: build check clippy doc fmt
+cargo: run unknown: bench run
+cargo: inspect none: metadata search tree
+cargo: network remote: publish
+go: install environment: get install mod
+go: test none: test
+go: build workspace: build fmt generate vet
+go: run unknown: run
+go: inspect none: doc env list version
+uv: install environment: add lock pip python remove sync tool venv
+uv: build workspace: build
+uv: inspect none: tree
+uv: network remote: publish
+uv: run unknown: run
+docker: inspect none: images inspect logs ps
+docker: build environment: build
+docker: run environment: compose run
+docker: run unknown: exec
+docker: network remote: push
+docker: install environment: pull
+docker: process destructive: rm rmi system
+docker: process environment: kill stop
+just|make: test none: check test
+just|make: build none: lint
+just: build workspace: build fmt
+make: edit destructive: clean
+make: install environment: install
+mise: run unknown: exec run x
+mise: inspect none: current ls which
+"""
+
+#: Flags that take a value, that force, and that make a command destructive or remote.
+FLAGS = """
+valued curl: --data --form --header --output --request -F -H -T -X -d -o -u
+valued gh api: --input --method -F -X -f
+valued git: --git-dir --work-tree -C -c
+valued git branch: --set-upstream-to -u
+valued git commit: --file --message -C -F -c -m
+valued git push: --push-option -o
+valued git tag: -m
+valued python|python3: -c -m
+forced cp|ln|mv|rm: --force -f
+forced git checkout|git clean: --force -f
+forced git commit: --amend --no-verify -n
+forced git pull: --force -f
+forced git push: --delete --force --force-with-lease -d -f
+forced git rebase: --autosquash -i
+forced git reset: --hard
+destructive git branch: --delete -D -M -d -m
+destructive git checkout: -- --force -f .
+destructive git push: --delete --force -d -f
+destructive git reset: --hard
+destructive git switch: --discard-changes -f
+destructive git tag: -d
+destructive git worktree: prune remove
+destructive rsync: --delete
+remote curl: --data --data-binary --data-raw --form --request --upload-file -F -T -X -d
+remote gh api: --input --method -F -X -f
+"""
+
+#: Programs that run the command after them: options of theirs that take a value, and how many other values they take.
+WRAPPERS = {"builtin": ((), 0), "command": ((), 0), "doas": (("-u",), 0), "env": (("-u",), 0), "exec": ((), 0), "nice": (("-n",), 0), "nohup": ((), 0), "stdbuf": ((), 0), "sudo": (("-g", "-u"), 0), "time": ((), 0), "timeout": (("-k", "-s"), 1), "xargs": (("-I", "-L", "-P", "-n"), 0)}
+#: Tools whose remaining words are the command they run.
+RUNNERS = {"bundle exec", "bunx", "conda run", "hatch run", "mise exec", "mise x", "npm exec", "npx", "pdm run", "pipx run", "pnpm exec", "poetry run", "uv run", "uvx", "yarn exec"}
+#: What ``python -m`` runs.
+MODULES = """
+test none: pytest unittest
+build none: flake8 mypy ruff
+build workspace: black build
+install environment: pip venv
+run none: http.server
+inspect none: json.tool
+network remote: twine
+"""
+
+
+@dataclass(frozen=True)
+class Kind:
+    act: str
+    effect: str
+    paths_from: int | None = None
+
+
+def _kinds(table: str) -> dict[str, Kind]:
+    found = {}
+    for line in table.strip().splitlines():
+        (act, effect, *place), names = line.split(":", 1)[0].split(), line.split(":", 1)[1].split()
+        found |= {name: Kind(act, effect, int(place[0]) if place and place[0] != "-" else None) for name in names}
+    return found
+
+
+def _by_subcommand(table: str) -> dict[str, Kind]:
+    found = {}
+    for line in table.strip().splitlines():
+        programs, kind, names = line.split(": ", 2)
+        found |= {f"{program} {name}": Kind(*kind.split()) for program in programs.split("|") for name in names.split()}
+    return found
+
+
+def _by_flag(table: str) -> dict[tuple[str, str], frozenset[str]]:
+    found = {}
+    for line in table.strip().splitlines():
+        head, flags = line.split(": ", 1)
+        role, names = head.split(" ", 1)
+        found |= {(role, name): frozenset(flags.split()) for name in names.split("|")}
+    return found
+
+
+_KNOWN = _kinds(PROGRAMS) | _by_subcommand(SUBCOMMANDS)
+_ROLES = _by_flag(FLAGS)
+_MODULES = _kinds(MODULES)
+
+
+def know(programs: str = "", subcommands: str = "", flags: str = "") -> None:
+    """Adds programs, subcommands and flags, written like the tables above; what is there already is replaced."""
+    _KNOWN.update(_kinds(programs) | _by_subcommand(subcommands))
+    _ROLES.update(_by_flag(flags))
+
+
 _OPEN = {"if": "if", "while": "loop", "until": "loop", "for": "loop", "case": "case", "{": "group", "(": "subshell", "!": "not"}
 _CLOSE = {"fi", "done", "esac", "}", ")"}
 _MIDDLE = {"then", "else", "elif", "do"}
@@ -57,10 +200,14 @@ class Command:
     program: str | None = None
     subcommand: str | None = None
     flags: list[str] = field(default_factory=list)
+    options: dict[str, str] = field(default_factory=dict)
     operands: list[str] = field(default_factory=list)
+    paths: list[str] = field(default_factory=list)
+    wrappers: list[str] = field(default_factory=list)
     act: str = "other"
     effect: str = "unknown"
     forced: bool = False
+    known: bool = False
 
 
 class ShellError(ValueError):
@@ -257,46 +404,109 @@ def parse(text: str, nesting: tuple[str, ...] = ()) -> list[Command]:
     return [c for c in out if c.argv[:1] not in (["for"], ["case"])]
 
 
-def describe(command: Command) -> Command:
-    """T5: program and subcommand behind wrappers, flags, operands, act and effect; a file written to is the workspace's."""
-    argv = list(command.argv)
-    while argv and (argv[0] in WRAPPERS or (argv[0],) in RUNNERS or tuple(argv[:2]) in RUNNERS):
-        valued = WRAPPERS.get(argv[0], ())
-        wrapper = argv.pop(0)
-        if (wrapper, argv[0] if argv else "") in RUNNERS:
-            argv.pop(0)
-        while argv and (argv[0].startswith("-") or (wrapper == "env" and "=" in argv[0]) or (wrapper == "timeout" and re.match(r"[\d.]+[smhd]?$", argv[0]))):
-            option = argv.pop(0)
-            if option in valued and argv:
-                argv.pop(0)
-    if not argv:
-        return replace(command, act="shell", effect="none")
-    program, rest = argv[0].rsplit("/", 1)[-1], argv[1:]
-    flags, operands, ended = [], [], False
-    for word in rest:
-        if word == "--":
-            ended = True
-        elif word.startswith("-") and len(word) > 1 and not ended:
-            flags.append(word.split("=", 1)[0])
+_WRITING = (">", ">>", ">|", "&>", "&>>", "<>")
+
+
+def _unwrapped(argv: list[str]) -> tuple[list[str], list[str]]:
+    """The command behind wrappers and runners, and their names."""
+    names = []
+    while argv:
+        program = argv[0].rsplit("/", 1)[-1]
+        if program in WRAPPERS and len(argv) > 1:
+            valued, values = WRAPPERS[program]
+            rest = argv[1:]
+            while rest and (rest[0].startswith("-") or re.match(r"[A-Za-z_]\w*=", rest[0])):
+                rest = rest[2:] if rest[0] in valued else rest[1:]
+            rest = rest[values:]
+        else:
+            words = 2 if f"{program} {argv[1] if len(argv) > 1 else ''}" in RUNNERS else 1 if program in RUNNERS else 0
+            rest = argv[words:]
+            while words and rest and rest[0].startswith("-"):
+                rest = rest[1:]
+            if not words:
+                return argv, names
+        if not rest:
+            return argv, names
+        names.append(program)
+        argv = rest
+    return argv, names
+
+
+def _sorted_out(words: list[str], valued: frozenset[str], one_operand: bool) -> tuple[list[str], dict[str, str], list[str], list[str]]:
+    """Flags, options with values, operands, and what is left where reading stops after the first operand."""
+    flags: list[str] = []
+    options: dict[str, str] = {}
+    operands: list[str] = []
+    words = list(words)
+    while words:
+        word = words.pop(0)
+        if word == "--":  # kept, as it tells a path from a branch
+            return [*flags, word], options, operands + words, []
+        if word.startswith("--") and "=" in word:
+            name, value = word.split("=", 1)
+            options[name] = value
+        elif word in valued and words:
+            options[word] = words.pop(0)
+        elif word.startswith("-") and word[1:2] not in ("", "-") and word[1:].isalpha():
+            flags += [f"-{letter}" for letter in word[1:]]
+        elif word.startswith("-") and word != "-":
+            flags.append(word)
         else:
             operands.append(word)
-    subcommand = None
-    act, effect = PROGRAMS.get(program, ("other", "unknown"))
-    if any(p == program for p, _ in SUBCOMMANDS) and operands:
-        subcommand = operands[0]
-        act, effect = SUBCOMMANDS.get((program, subcommand), (act, effect))
-        operands = operands[1:]
-    if program in ("python", "python3") and "-m" in flags and operands:
-        subcommand = operands.pop(0)
-        act, effect = MODULES.get(subcommand, (act, effect))
-    if program == "sed" and any(f.startswith("-i") for f in flags):
-        act, effect = "edit", "workspace"
-    if program == "find" and "-delete" in flags:
-        act, effect = "delete", "destructive"
-    if any(kind in (">", ">>", ">|", "&>", "&>>") and target not in ("/dev/null", "1", "2") for kind, target in command.redirects) and SEVERITY[effect] < SEVERITY["workspace"]:
-        effect = "workspace"
-        act = "edit" if act in ("shell", "read") else act
-    return replace(command, program=program, subcommand=subcommand, flags=flags, operands=operands, act=act, effect=effect, forced=act != "shell" and bool(FORCING & set(flags)))
+            if one_operand:
+                break
+    return flags, options, operands, words
+
+
+def describe(command: Command) -> Command:
+    """T5: program and subcommand behind wrappers, flags, options, operands, paths, act and effect.
+
+    A file written to makes the workspace the least effect, whatever the command.
+    """
+    argv, wrappers = _unwrapped(list(command.argv))
+    targets = [target for kind, target in command.redirects if kind in (*_WRITING, "<") and target != "/dev/null"]
+    writes = any(kind in _WRITING and target not in ("/dev/null", "1", "2") for kind, target in command.redirects)
+    at_least = lambda effect: "workspace" if writes and SEVERITY[effect] < SEVERITY["workspace"] else effect
+    if not argv:
+        return replace(command, act="shell", effect=at_least("none"), paths=targets, wrappers=wrappers)
+    program = name = argv[0].rsplit("/", 1)[-1]
+    kind = _KNOWN.get(program)
+    role = lambda what: _ROLES.get((what, name), frozenset())
+    flags: list[str] = []
+    options: dict[str, str] = {}
+    words = argv[1:]
+    while any(x.startswith(f"{name} ") for x in _KNOWN):
+        more, valued, first, rest = _sorted_out(words, role("valued"), one_operand=True)
+        if not first or f"{name} {first[0]}" not in _KNOWN:
+            break
+        flags, options, words = flags + more, options | valued, rest
+        name = f"{name} {first[0]}"
+        kind = _KNOWN[name]
+    more, valued, operands, _ = _sorted_out(words, role("valued"), one_operand=False)
+    flags, options = flags + more, options | valued
+    subcommand = name.partition(" ")[2] or None
+    if program in ("python", "python3") and options.get("-m") in _MODULES:
+        subcommand = options["-m"]
+        kind = _MODULES[subcommand]
+    act, effect = (kind.act, kind.effect) if kind else ("other", "unknown")
+    given = {*flags, *options}
+    if (given | set(operands)) & role("destructive"):
+        effect = "destructive"
+    if given & role("remote"):
+        effect = "remote"
+    if kind and kind.paths_from is not None:
+        paths = operands[kind.paths_from :]
+    else:
+        paths = [w for w in operands if act == "vcs" and _like_a_path(w)]
+    return replace(
+        command, program=program, subcommand=subcommand, flags=flags, options=options, operands=operands, paths=paths + targets, wrappers=wrappers,
+        act=act, effect=at_least(effect), forced=bool(set(flags) & role("forced")), known=kind is not None,
+    )
+
+
+def _like_a_path(word: str) -> bool:
+    """Among refs and branches a word with a slash or a dot is taken for a path."""
+    return ("/" in word or "." in word) and ":" not in word and ".." not in word and not word.startswith(("-", "HEAD", "@", "origin/", "upstream/", "refs/"))
 
 
 def commands_of(text: str | None) -> list[dict]:
