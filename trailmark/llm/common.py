@@ -78,14 +78,14 @@ NO_ID = -(2**63)
 
 
 def smallest_of_group(rows: DataFrame, keys: list[str], id_col: str, salts: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Salted combining: ``rows`` with a salt, and one row per group with its smallest id and its salts as bits.
+    """``rows`` with a salt, and one row per group with its smallest id and its salts as bits.
 
-    A hot group is spread over ``salts`` tasks before its winners meet; ``with_salts`` turns the second frame into
-    rows that join the first on salt and keys, none of which carries more than one salt's share of a group.
+    The map side leaves one row of a group in each task, so a hot group's winners meet without its rows; ``with_salts``
+    turns the second frame into rows that join the first on salt and keys, none of which carries more than one salt's
+    share of a group.
     """
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(29), id_col), F.lit(salts)).cast("int"))
-    by_salt = salted.groupBy("salt", *keys).agg(F.min(id_col).alias("smallest"))
-    winners = by_salt.groupBy(*keys).agg(F.min("smallest").alias("smallest"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
+    winners = salted.groupBy(*keys).agg(F.min(id_col).alias("smallest"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
     return salted, winners
 
 

@@ -187,11 +187,10 @@ def _stars(ids: np.ndarray, sizes: np.ndarray, matrix: np.ndarray, similarity: f
 def buckets(nodes: DataFrame, salts: int = 64) -> DataFrame:
     """``salt, key, m, doc_id, n, sketch`` of the members of all buckets of two and more; m is the bucket's size.
 
-    A bucket is counted by salt first and its count goes back to its salts, so no task holds a whole hot bucket.
+    A bucket is counted map-side first and its count goes back to its salts, so no task holds a whole hot bucket.
     """
     member = nodes.select("doc_id", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(salts)).cast("int"))
-    by_salt = member.groupBy("salt", "key").agg(F.count("*").alias("m"))
-    full = by_salt.groupBy("key").agg(F.sum("m").alias("m"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).filter("m > 1")
+    full = member.groupBy("key").agg(F.count("*").alias("m"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")).filter("m > 1")
     return member.join(with_salts(full, salts), ["salt", "key"]).join(nodes.select("doc_id", "n", "sketch"), "doc_id").select("salt", "key", "m", "doc_id", "n", "sketch")
 
 
@@ -440,7 +439,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
     if not rest.isEmpty():
         more = stored(confirmed_in_blocks(docs, rest, size, percent), "mh-links")
         if not more.isEmpty():
-            component = connected_components(links.unionByName(more))
+            component = connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     named = winners.join(component, F.col("smallest") == F.col("node"), "left").select("d1", "d2", "n", "salts", F.coalesce("component", "smallest").alias("component_id"))
     linked = salted.join(with_salts(named), ["salt", "d1", "d2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = drawn.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
