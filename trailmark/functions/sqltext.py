@@ -9,7 +9,9 @@ import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class SqlError(ValueError):
@@ -129,9 +131,25 @@ def template(text: str) -> str:
     return re.sub(r"\s+", " ", _LITERAL.sub("?", text)).strip().rstrip(";").lower()
 
 
+def templates(text: Column) -> Column:
+    """T12 of a column."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(text, _LITERAL.pattern, "?"), r"\s+", " "))
+    return F.lower(F.regexp_replace(plain, ";+$", ""))
+
+
+def canonical_forms(column: str) -> Column:
+    """T13 of a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else canonical(t))
+
+    return run(column)
+
+
 def canonical(text: str) -> str:
     """A template in which order that does not matter is sorted: select list, AND and OR operands, IN lists, group keys."""
-    made = template(text)
+    made = re.sub(r"\s*(<>|!=|<=|>=|=|<|>|,)\s*", lambda m: ", " if m[1] == "," else f" {m[1]} ", template(text))
     made = re.sub(r"\bin \((\?(?:, ?\?)*)\)", "in (?)", made)
 
     def ordered(pattern: str, by: str, s: str) -> str:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailmark.operators.sampling import shuffled
 from trailmark.operators.stats import running
 
 FOLDS, LEAST_ROWS = 5, 50
@@ -101,7 +102,7 @@ def dependences(reference: DataFrame, blocks: dict[str, list[str]]) -> DataFrame
 
 def evaluation_set(df: DataFrame, n: int = 100, seed: int = 0) -> DataFrame:
     """``n`` trajectories by keyed order (the size of the set is the parameter)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(n)
+    return df.orderBy(shuffled(seed=seed), "key").limit(n)
 
 
 def roles(figures: dict[str, dict[str, float]], r: dict[tuple[str, str], float], context: set[str] = frozenset(), noise_max: float = 0.1, dependence_max: float = 0.9) -> dict[str, str]:

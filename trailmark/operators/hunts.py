@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.functions.sqltext import SqlError, bridged, guard
+from trailmark.operators.sampling import shuffled
 from trailmark.operators.stats import probe_ledger, upper_bound, wilson
 
 
@@ -67,7 +68,7 @@ def run_probes(spark: SparkSession, probes: dict[str, str], tables: dict[str, Da
 def draw(hits: DataFrame, population: DataFrame, read: DataFrame, hunt: Hunt, round_: int) -> DataFrame:
     """H7, H8: key, source: unread hits first (rarest probe's first), clusters not covered next, the rest at random."""
     unread = population.select("key", "cluster").join(read.select("key"), "key", "left_anti")
-    order = F.xxhash64(F.lit(hunt.seed + round_), "key")
+    order = shuffled(seed=hunt.seed + round_)
     sizes = hits.select("probe", "key").distinct().groupBy("probe").agg(F.count("*").alias("n"))
     rare = hits.join(sizes, "probe").groupBy("key").agg(F.min("n").alias("n"))
     n_hits = int(hunt.reads * hunt.hit_share)
@@ -75,7 +76,7 @@ def draw(hits: DataFrame, population: DataFrame, read: DataFrame, hunt: Hunt, ro
     covered = population.join(read.select("key"), "key", "left_semi").select("cluster").distinct()
     fresh = unread.join(covered, "cluster", "left_anti").join(first, "key", "left_anti").groupBy("cluster").agg(F.min_by("key", order).alias("key"))
     n_cover = (hunt.reads - n_hits) // 2
-    second = fresh.orderBy(F.xxhash64(F.lit(hunt.seed), "cluster"), "cluster").limit(n_cover).select("key", F.lit("coverage").alias("source"))
+    second = fresh.orderBy(shuffled("cluster", hunt.seed), "cluster").limit(n_cover).select("key", F.lit("coverage").alias("source"))
     third = unread.join(first.unionByName(second), "key", "left_anti").orderBy(order, "key").limit(hunt.reads - n_hits - n_cover).select("key", F.lit("random").alias("source"))
     return first.unionByName(second).unionByName(third)
 
@@ -154,11 +155,8 @@ def is_local(spark: SparkSession, name: str, sql: str, tables: dict[str, DataFra
     for side in (0, 1):
         part = {n: df.filter(F.pmod(F.xxhash64("key"), F.lit(2)) == side) for n, df in tables.items()}
         own = run_probe(spark, name, sql, part)
-        rows = [tuple(r) for r in own.collect()]
-        own = spark.createDataFrame(rows, whole.schema)
         halves = own if halves is None else halves.unionByName(own)
-    rows = spark.createDataFrame([tuple(r) for r in run_probe(spark, name, sql, tables).collect()], whole.schema)
-    return rows.exceptAll(halves).isEmpty() and halves.exceptAll(rows).isEmpty()
+    return whole.exceptAll(halves).isEmpty() and halves.exceptAll(whole).isEmpty()
 
 
 def screen(candidates: dict[str, dict], existing: set[str], capacity: int = 30) -> tuple[dict[str, dict], dict[str, str]]:

@@ -212,7 +212,7 @@ ORACLE: dict[str, str] = {
 
 _JUDGED = """j AS (SELECT CAST(conv_id AS VARCHAR) AS key, turn AS "index", CASE WHEN length(text) % 3 = 0 THEN 'pushback' WHEN length(text) % 3 = 1 THEN 'approval' ELSE 'neutral' END AS value
     FROM conversations WHERE role = 'user')"""
-_LONG = """lg AS (SELECT user_id AS key, event_type AS feature, max(value) AS value, CASE WHEN count(*) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM events WHERE event_id % 7 <> 0 GROUP BY 1, 2)"""
+_LONG = """lg AS (SELECT user_id AS key, event_type AS feature, max(value) AS value, CASE WHEN count(*) % 5 = 0 THEN 'failed' ELSE 'ok' END AS status FROM events GROUP BY 1, 2)"""
 
 ORACLE |= {
     "j10_semi": "SELECT o_orderkey, o_custkey AS key FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal > 5000)",

@@ -8,6 +8,7 @@ the first few, so a bad file is found wherever it is read.
 from __future__ import annotations
 
 import ast
+import hashlib
 import json
 import re
 from collections import Counter
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STEP_FIELDS = ("role", "kind", "name", "content", "arguments", "is_error", "timestamp")
@@ -243,29 +244,45 @@ def _scalars(record: dict, keys: tuple[str, ...]) -> dict:
     return {k: record[k] for k in keys or record if k in record and isinstance(record[k], (str, int, float, bool))}
 
 
-def read_messages(spark: SparkSession, paths: list[str], dataset: str, options: Messages | None = None) -> DataFrame:
-    """``.jsonl`` a record a line, ``.json`` one record or a list of them."""
+def safe_ids(text: Column) -> Column:
+    """F1 of a column."""
+    return F.substring(F.regexp_replace(text, r"[^A-Za-z0-9._-]", "_"), 1, 120)
+
+
+def messages_of(texts: DataFrame, dataset: str, options: Messages | None = None, several: bool = False) -> DataFrame:
+    """``texts`` (file, value) hold a JSON record each, or with ``several`` one record or a list of them."""
     options = options or Messages()
 
     def one(record: dict, fallback: str) -> tuple[str, dict, list[dict]]:
         return str(record[options.id_key] if options.id_key else record.get("id", fallback)), _scalars(record, options.metadata_keys), options.steps(record)
 
-    def line(value: str, file: str) -> Iterator[tuple[str, dict, list[dict]]]:
-        if value.strip():
-            yield one(json.loads(value), f"{abs(hash(value)):x}")
+    def parse(value: str, file: str) -> Iterator[tuple[str, dict, list[dict]]]:
+        if not value.strip():
+            return
+        found = json.loads(value)
+        if several:
+            records = found if isinstance(found, list) else [found]
+            yield from (one(record, f"{file.rsplit('/', 1)[-1]}-{i}") for i, record in enumerate(records))
+        else:
+            yield one(found, hashlib.sha256(value.encode("utf-8", "surrogatepass")).hexdigest()[:16])
+
+    return _parsed(texts, dataset, parse)
 
-    def document(value: str, file: str) -> Iterator[tuple[str, dict, list[dict]]]:
-        records = json.loads(value)
-        for i, record in enumerate(records if isinstance(records, list) else [records]):
-            yield one(record, f"{file.rsplit('/', 1)[-1]}-{i}")
 
+def read_messages(spark: SparkSession, paths: list[str], dataset: str, options: Messages | None = None) -> DataFrame:
+    """``.jsonl`` a record a line, ``.json`` one record or a list of them."""
     lines, documents = [p for p in paths if not p.endswith(".json")], [p for p in paths if p.endswith(".json")]
-    parts = ([_parsed(_texts(spark, lines, False), dataset, line)] if lines else []) + ([_parsed(_texts(spark, documents, True), dataset, document)] if documents else [])
+    parts = ([messages_of(_texts(spark, lines, False), dataset, options)] if lines else []) + ([messages_of(_texts(spark, documents, True), dataset, options, several=True)] if documents else [])
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def read_sessions(spark: SparkSession, paths: list[str], dataset: str, options: Session | None = None) -> DataFrame:
     """A file is a session; its name is the id."""
+    return sessions_of(_texts(spark, paths, True), dataset, options)
+
+
+def sessions_of(texts: DataFrame, dataset: str, options: Session | None = None) -> DataFrame:
+    """``texts`` (file, value) hold the lines of a session each."""
     options = options or Session()
 
     def session(value: str, file: str) -> Iterator[tuple[str, dict, list[dict]]]:
@@ -275,12 +292,17 @@ def read_sessions(spark: SparkSession, paths: list[str], dataset: str, options:
             first = next((x for x in lines if x.get("cwd")), {})
             yield file.rsplit("/", 1)[-1].removesuffix(".jsonl"), _scalars(first, ("cwd", "gitBranch", "version")), steps
 
-    return _parsed(_texts(spark, paths, True), dataset, session)
+    return _parsed(texts, dataset, session)
 
 
 def read_atif(spark: SparkSession, paths: list[str], dataset: str) -> DataFrame:
     """Documents; the same identity read twice must be the same document (see ``checked``)."""
-    return _parsed(_texts(spark, paths, True), dataset, lambda value, file: atif_documents(json.loads(value)))
+    return atif_of(_texts(spark, paths, True), dataset)
+
+
+def atif_of(texts: DataFrame, dataset: str) -> DataFrame:
+    """``texts`` (file, value) hold a document each."""
+    return _parsed(texts, dataset, lambda value, file: atif_documents(json.loads(value)))
 
 
 def checked(parsed: DataFrame) -> DataFrame:
