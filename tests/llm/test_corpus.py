@@ -154,6 +154,35 @@ def test_language_odd(spark, odd):
     assert {r["lang_pred"] for r in got.filter("doc_id IN (1, 2, 3) OR doc_id IS NULL").collect()} == {"und"}
 
 
+def slow_language(texts, profiles, length):
+    """Out-of-place distances from counted n-grams."""
+    for text in texts:
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        counts = Counter()
+        for w in words:
+            framed = f" {w} "
+            counts.update(w)
+            counts.update(framed[i : i + 2] for i in range(len(framed) - 1))
+            counts.update(framed[i : i + 3] for i in range(len(framed) - 2))
+        number = lambda g: sum((ord(c) if c != " " else 0) << 21 * (len(g) - 1 - i) for i, c in enumerate(g)) | {1: 0, 2: 1 << 62, 3: 1 << 61}[len(g)]
+        own = [g for _, g in sorted((-n, number(g)) for g, n in counts.items())[:length]]
+        if not own:
+            yield "und", 0.0
+            continue
+        far = {x: sum(abs(p.index(g) - i) if g in p else length for i, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        yield best, 1 - far[best] / (length * len(own))
+
+
+def test_language_against_slow_distances(spark, some):
+    docs = some.limit(60)
+    profiles = language_id.learn_profiles(some.filter(F.col("lang").isNotNull()), length=80)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(docs, profiles, length=80).collect()}
+    text = texts_of(docs)
+    for (d, t), (lang, score) in zip(text.items(), slow_language(text.values(), profiles, 80), strict=True):
+        assert got[d][0] == lang and got[d][1] == pytest.approx(score), t[:50]
+
+
 # 3 shards
 
 
@@ -240,6 +269,64 @@ def test_rolling_hash_and_subsequence():
         assert fuzzy_hash.common_subsequence(a, b) == longest(a, b)
 
 
+def slow_fingerprint(text):
+    """Byte by byte, as the method is told."""
+    data = text.encode()
+
+    def letters(block):
+        out, begin = [], 0
+        for i in range(len(data)):
+            window = data[max(0, i - 6) : i + 1]
+            shifted = 0
+            for back, c in enumerate(reversed(window)):
+                shifted ^= (c << 5 * back % 32) & 0xFFFFFFFF
+            rolled = (sum(window) + sum((7 - back) * c for back, c in enumerate(reversed(window))) + shifted) % 2**32
+            if rolled % block == block - 1 and len(out) < 63:
+                out.append(fuzzy_hash.LETTERS[zlib.crc32(data[begin : i + 1]) & 63])
+                begin = i + 1
+        if begin < len(data):
+            out.append(fuzzy_hash.LETTERS[zlib.crc32(data[begin:]) & 63])
+        return "".join(out)
+
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and len(letters(block)) < 32:
+        block //= 2
+    return f"{block}:{letters(block)}:{letters(2 * block)}"
+
+
+def slow_likeness(a, b):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            above, row = row, [i]
+            for j, d in enumerate(y, 1):
+                row.append(above[j - 1] if c == d else 1 + min(above[j], row[-1]))
+        return row[-1]
+
+    (m, *ours), (n, *theirs) = a.split(":"), b.split(":")
+    best = 1.0 if a == b else 0.0
+    for i, x in enumerate(ours):
+        for j, y in enumerate(theirs):
+            if int(m) << i == int(n) << j:
+                k = max(1, min(4, min(len(x), len(y)) // 4))
+                common = any(x[p : p + k] in y for p in range(len(x) - k + 1)) if x and y else x == y
+                best = max(best, (1 - distance(x, y) / (len(x) + len(y)) if x or y else 1.0) if common else 0.0)
+    return best
+
+
+def test_fingerprints_against_slow_ones():
+    rng = random.Random(4)
+    texts = ["", "a", "é" * 50] + ["".join(rng.choice("abcde é\n") for _ in range(rng.randrange(3000))) for _ in range(12)]
+    prints = [fuzzy_hash.fingerprint(t) for t in texts]
+    assert prints == [slow_fingerprint(t) for t in texts]
+    prints += [fuzzy_hash.fingerprint(t[: len(t) * 3 // 4] + texts[-1][:40]) for t in texts]
+    for a in prints:
+        for b in prints:
+            assert fuzzy_hash.likeness(a, b) == pytest.approx(slow_likeness(a, b))
+
+
 def test_fingerprints_odd(spark, odd):
     got = fuzzy_hash.compare_with_next(odd, rows_per_part=3).collect()
     assert len(got) == odd.count()

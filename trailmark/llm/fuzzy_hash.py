@@ -109,22 +109,24 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def compare_with_next(docs: DataFrame, rows_per_part: int = 1024) -> DataFrame:
+def compare_with_next(docs: DataFrame, rows_per_part: int = 1024, part_bytes: int = 32 << 20) -> DataFrame:
     """One row per input row, see SCHEMA: fingerprints of each text, of its edited text, and their likeness.
 
     The next document is the next row in ascending id, after the last the first.  Ids are cut into ranges at
-    approximate quantiles, ``rows_per_part`` rows each and at most 16 ranges a shuffle partition; a range is one
-    sorted run in one task, and the first row of a range is also sent, as a guest, to the range before it, so
-    every text travels once and one row a range twice.  Null texts are empty.
+    approximate quantiles: one a shuffle partition, or as many as leave about ``part_bytes`` of text each, and none
+    of much less than ``rows_per_part`` rows.  A range is a task, which reads its rows in order, and the first row of a
+    range is also sent, as a guest, to the range before it, so every text travels once and one row a range twice.
+    Null texts are empty.
     Null ids come first.  Rows repeated with one id follow each other in the order of their texts.  An only row
     is its own next; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     own = id_texts(docs)
-    # Ids decide the ranges: only they are read here.
+    # Ids decide the ranges; of the texts only the sizes are summed.
     ids = own.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"))
-    n = ids.count()
-    parts = max(1, min(-(-n // rows_per_part), 16 * parallelism(spark)))
+    held_ = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    n, wanted = held_["n"], max(parallelism(spark), -(-(held_["bytes"] or 0) // part_bytes))
+    parts = max(1, min(-(-n // rows_per_part), wanted))
     bounds: list[int] = []
     if parts > 1:
         cuts = [i / parts for i in range(1, parts)]
@@ -174,7 +176,7 @@ def compare_with_next(docs: DataFrame, rows_per_part: int = 1024) -> DataFrame:
             raise AssertionError("a range without its guest")
 
     dealt = own.mapInArrow(deal, "part long, guest boolean, doc_id long, text string")
-    placed = dealt.repartition(max(parallelism(spark), 1), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    placed = dealt.repartitionById(len(bounds) + 1, F.col("part").cast("int")).sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
     return placed.mapInArrow(compare, SCHEMA)
 
 
