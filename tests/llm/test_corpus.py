@@ -587,6 +587,57 @@ def test_templates():
             license_scan.compile_template(bad)
 
 
+def as_pattern(markup):
+    """The same template for the regular expression engine, over words that each end with a blank."""
+    import re
+
+    out = []
+    for token in re.findall(r"<<[^>]*>>|[^<]+", markup):
+        if token in ("<<optional>>", "<</optional>>"):
+            out.append("(?:" if token == "<<optional>>" else ")?")
+        elif token.startswith("<<any:"):
+            out.append(rf"(?:\S+ ){{0,{token[6:-2]}}}")
+        elif token.startswith("<<one:"):
+            out.append("(?:" + "|".join("".join(f"{w} " for w in license_scan.words_of(x)) for x in token[6:-2].split("|")) + ")")
+        else:
+            out += [f"{w} " for w in license_scan.words_of(token)]
+    return re.compile(r"(?:^|(?<= ))" + "".join(out))
+
+
+def one_wording(markup, rng):
+    import re
+
+    words, dropped = [], []
+    for token in re.findall(r"<<[^>]*>>|[^<]+", markup):
+        if token == "<<optional>>":
+            dropped.append(rng.random() < 0.5)
+        elif token == "<</optional>>":
+            dropped.pop()
+        elif not any(dropped):
+            if token.startswith("<<any:"):
+                words += ["somebody"] * rng.randrange(int(token[6:-2]) + 2)
+            else:
+                words += license_scan.words_of(rng.choice(token[6:-2].split("|")) if token.startswith("<<one:") else token)
+    return words
+
+
+def test_templates_against_patterns():
+    rng = random.Random(6)
+    scanner = license_scan.Scanner(license_scan.PHRASES, license_scan.TEMPLATES)
+    patterns = {label: as_pattern(t) for label, t in license_scan.TEMPLATES.items()}
+    base, found = set(license_scan.PHRASES.values()), Counter()
+    for label, markup in license_scan.TEMPLATES.items():
+        for turn in range(6):
+            words = ["so", "said", *one_wording(markup, rng), "and", "so", "on"]
+            if turn % 3 == 2:
+                del words[rng.randrange(len(words))]
+            got = set(scanner.scan(" ".join(words))[5].split(",")) - base - {""}
+            text = "".join(f"{w} " for w in words)
+            assert got == {x for x, p in patterns.items() if p.search(text)}, (label, text)
+            found.update(got)
+    assert set(found) == set(patterns)
+
+
 def test_licences_odd(spark, odd):
     got = license_scan.scan_licenses(odd).collect()
     assert len(got) == odd.count() and {r["labels"] for r in got} == {""}

@@ -1,8 +1,8 @@
 """License scans by template markup.
 
 A template is the wording of a licence with regions marked up: ``<<optional>> ... <</optional>>`` may be absent,
-``<<any:N>>`` stands for up to N words of anybody's choosing (a holder, a year).  Everything else is mandatory and
-must match word for word.  A template compiles to an automaton over words whose states are places in the template;
+``<<one:a|b>>`` is replaceable by its alternatives, and ``<<any:N>>`` stands for up to N words of anybody's choosing (a
+holder, a year).  Everything else is mandatory and must match word for word.  A template compiles to an automaton over words whose states are places in the template;
 a text is accepted where a run of its words leads from the first place to the last.  Runs start only where a
 mandatory first word stands, so a text without one costs a look-up per word.
 """
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from trailmark.llm.common import LOWER, UPPER, id_texts
+from trailmark.llm.license_texts import TEMPLATES
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -25,17 +26,6 @@ _FOLD = str.maketrans(UPPER, LOWER)
 # The phrases of the contract and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Wording of public licence texts and notices.
-TEMPLATES = {
-    "mit-text": "<<optional>>the mit license<</optional>> <<optional>>copyright <<any:12>><</optional>> permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the software",
-    "mit-notice": "<<optional>>this <<any:3>> is<</optional>> released under the <<optional>>terms of the<</optional>> mit license",
-    "apache-2.0-notice": "licensed under the apache license version 2 0 <<optional>>the license you may not use this file except in compliance with the license<</optional>>",
-    "gpl-3.0-notice": "<<optional>>this <<any:3>> is<</optional>> licensed under the gnu general public license version 3 <<optional>>of the license<</optional>> <<optional>>or any later version<</optional>>",
-    "cc-by-nc-4.0-notice": "licensed under <<optional>>a creative commons<</optional>> cc by nc 4 0 <<optional>>international license<</optional>>",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-}
-
-
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").translate(_FOLD) if text and not text.isascii() else (text or "").lower())
 
@@ -81,7 +71,7 @@ class Automaton:
 
 
 def compile_template(markup: str) -> Automaton:
-    """``<<optional>>`` regions nest; ``<<any:N>>`` takes 0 to N words; the rest is cut into words like a text."""
+    """``<<optional>>`` regions nest; ``<<one:a|b>>`` and ``<<any:N>>`` (0 to N words) don't; the rest is cut into words like a text."""
     made = Automaton()
     here, opened = 0, []
     for token in re.findall(r"<<[^>]*>>|[^<]+", markup):
@@ -93,6 +83,15 @@ def compile_template(markup: str) -> Automaton:
             made.free[here].append(end)
             made.free[opened.pop()].append(end)
             here = end
+        elif token.startswith("<<one:"):
+            end = made.new()
+            for alternative in token[6:-2].split("|"):
+                at = here
+                for word in words_of(alternative):
+                    made.step[at].setdefault(word, []).append(nxt := made.new())
+                    at = nxt
+                made.free[at].append(end)
+            here = end
         elif token.startswith("<<any:"):
             places = [here] + [made.new() for _ in range(int(token[6:-2]))]
             end = made.new()
@@ -134,7 +133,7 @@ class Scanner:
 
     @staticmethod
     def _mandatory(markup: str) -> list[str]:
-        plain = re.sub(r"<<any:\d+>>", " ", markup)
+        plain = re.sub(r"<<(any|one):[^>]*>>", " ", markup)
         while (less := re.sub(r"<<optional>>((?!<<).)*<</optional>>", " ", plain)) != plain:
             plain = less
         return words_of(plain)
