@@ -720,6 +720,38 @@ def test_exact_odd(spark, odd):
 # the pipeline
 
 
+def test_likely_among(spark):
+    rows = spark.createDataFrame([(i if i % 9 else None, i, "x") for i in range(400)], "doc_id long, __place long, __bits string")
+    ids = spark.range(0, 400, 5).toDF("doc_id")
+    from trailmark.llm.common import likely_among
+
+    some, others = likely_among(rows, ids, bits=128).collect(), likely_among(rows, ids, bits=128, others=True).collect()
+    assert sorted(r["__place"] for r in [*some, *others]) == list(range(400)) and some[0].__fields__ == rows.columns
+    assert {i for i in range(0, 400, 5) if i % 9} <= {r["doc_id"] for r in some} and None not in {r["doc_id"] for r in some}
+
+
+def test_stages_on_odd_tables(spark, odd):
+    """No rows at all, and repeated rows, nulls, ties and a long text, through every stage."""
+    import corpus_pipeline as P
+
+    for docs in (odd.limit(0), odd.unionByName(odd)):
+        docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+        n = docs.count()
+        for name, stage in P.STAGES:
+            docs = stage(spark, docs, SF)
+            assert name == "pack" or docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert (docs.count() > 0) == (n > 0)
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    rows = [(1, "a b c", "s", "x", 1, 2), (2, "A b c", "s", "y", 3, 4), (3, None, None, None, None, None), (None, "", "t", "z", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __sha string, __copy long, __rows long")
+    kept = exact_dedup.drop_exact_copies(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+    again = mixture.mixed(df.toDF("doc_id", "text", "source", "__id", "__copies", "__copy"), target_entropy=0.1)
+    assert again.count() == 4 and sorted(r["__copy"] or 0 for r in again.collect()) == [0, 2, 4, 6]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 

@@ -68,6 +68,18 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    made = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        made.append(name)
+    return made
+
+
 def id_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns the row-wise operators read, whatever else the table holds."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -100,9 +112,11 @@ def likely_among(rows: DataFrame, ids: DataFrame, id_col: str = "doc_id", others
     broadcast.  The more ids there are, the more other rows pass; which rows the join finds doesn't change.
     With ``others`` the rows that don't pass are given instead.
     """
+    at, word, held = unused(rows, "__place", "__word", "__bits")
     place = F.pmod(F.xxhash64(F.lit(53), F.col(id_col).cast("long")), F.lit(bits))
-    word, bit = F.shiftright("__place", 6), F.expr("cast(__place & 63 AS int)")
-    marked = ids.select(place.alias("__place")).groupBy(word.alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__place & 63 AS int))")).alias("__bits"))
-    tried = rows.withColumn("__place", place).withColumn("__word", word)
-    found = tried.join(F.broadcast(marked), "__word", "left") if others else tried.join(F.broadcast(marked), "__word")
-    return found.filter(F.coalesce(F.getbit("__bits", bit), F.lit(0)) == (0 if others else 1)).drop("__word", "__place", "__bits")
+    bit = F.col(at).bitwiseAND(63).cast("int")
+    marked = ids.select(place.alias(at)).groupBy(F.shiftright(at, 6).alias(word)).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias(held))
+    tried = rows.withColumn(at, place).withColumn(word, F.shiftright(at, 6))
+    found = tried.join(F.broadcast(marked), word, "left") if others else tried.join(F.broadcast(marked), word)
+    passed = F.coalesce(F.getbit(held, bit), F.lit(0)) == (0 if others else 1)
+    return found.filter(passed | F.col(id_col).isNull() if others else passed).select(*rows.columns)

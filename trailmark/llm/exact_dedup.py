@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import lower_ascii
+from trailmark.llm.common import lower_ascii, unused
 
 
 def _identity(content: Column) -> list[Column]:
@@ -61,12 +61,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
     """``docs`` with one row per distinct normalised text, all columns as they came.
 
-    Of rows repeated with the same id and text one stays; which one is open, since they are equal in both.
+    Of rows repeated with the same id and text one stays; which one is open, since they are equal in both.  Null and
+    empty texts are one text, so one such row stays.  An empty table stays empty, and columns may have any names.
     """
-    flags = exact_groups(docs, id_col, text_col, salts).filter("kept").groupBy(F.col("doc_id").alias("__kept_id"), F.col("text_sha256").alias("__kept_sha")).agg(F.count("*").alias("__rows"))
+    own, kept_id, kept_sha, n = unused(docs, "__sha", "__kept_id", "__kept_sha", "__rows")
+    flags = exact_groups(docs, id_col, text_col, salts).filter("kept").groupBy(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha)).agg(F.count("*").alias(n))
     content = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    tagged = docs.withColumn("__sha", F.sha2(content, 256))
-    kept = tagged.join(flags, F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__sha") == F.col("__kept_sha")))
+    tagged = docs.withColumn(own, F.sha2(content, 256))
+    kept = tagged.join(flags, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_sha)))
     # Only rows that repeat with their id are looked at twice.
-    several = kept.filter("__rows > 1").dropDuplicates([id_col, "__sha"])
-    return kept.filter("__rows = 1").unionByName(several).select(*docs.columns)
+    several = kept.filter(F.col(n) > 1).dropDuplicates([id_col, own])
+    return kept.filter(F.col(n) == 1).unionByName(several).select(*docs.columns)

@@ -448,6 +448,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, rows: int
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without rows whose document isn't the smallest id of its component, all columns as they came."""
-    gone = near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without rows whose document isn't the smallest id of its component, all columns as they came.
+
+    Rows with a null id are kept: null orders below every id, and a join on ids doesn't find it.  Texts without words,
+    null and empty ones among them, are kept; rows repeated with an id share their decision.
+    """
+    gone = stored(near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id").distinct(), "mh-gone")
+    # Most rows are known to stay without being shuffled.
+    left = likely_among(docs, gone).join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)
+    return likely_among(docs, gone, others=True).unionByName(left)

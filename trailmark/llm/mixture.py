@@ -14,6 +14,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.llm.common import unused
+
 
 def entropy(shares: list[float], exponent: float) -> float:
     """Of the normalised powers, in nats."""
@@ -113,11 +115,13 @@ def mix_sources(
 def mixed(docs: DataFrame, target_entropy: float = 0.95, max_repeats: float = 4.0, budget_tokens: int | None = None, seed: int = 17) -> DataFrame:
     """``docs`` with every row as often as the mixture asks, all columns as they came.
 
-    Rows meet their decision on id, source and tokens, so repeated rows get the copies of each of them.
+    Rows meet their decision on id, source and tokens, so repeated rows get the copies of each of them.  Null ids,
+    sources and texts take part like others, an empty table stays empty, and columns may have any names.
     """
+    own, source, tokens, copies, copy = unused(docs, "__id", "__source", "__tokens", "__copies", "__copy")
     plan = mix_sources(docs, target_entropy, max_repeats, budget_tokens, seed)
-    once = plan.groupBy("doc_id", "source", "tokens").agg(F.max("copies").alias("__copies")).toDF("__id", "__source", "__tokens", "__copies")
+    once = plan.groupBy("doc_id", "source", "tokens").agg(F.max("copies")).toDF(own, source, tokens, copies)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & ((F.ceil(F.octet_length(text) / 4) + 1) == F.col("__tokens"))
-    joined = docs.join(once.filter("__copies > 0"), on)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    on = F.col("doc_id").eqNullSafe(F.col(own)) & F.col("source").eqNullSafe(F.col(source)) & ((F.ceil(F.octet_length(text) / 4) + 1) == F.col(tokens))
+    joined = docs.join(once.filter(F.col(copies) > 0), on)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
