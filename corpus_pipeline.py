@@ -1,7 +1,8 @@
 """From raw documents to packed sequences: identify, deduplicate twice, mix, pack.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.  All but the last return
-the columns of ``documents``.
+the columns of ``documents``.  An empty table gives an empty one at every stage, texts are read whole whatever their
+length, and null ids, languages and sources are values like others.
 """
 
 from __future__ import annotations
@@ -29,12 +30,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z and a-z alike) the largest id stays."""
+    """Of equal texts (A-Z and a-z alike) the largest id stays; null and empty texts are one text."""
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at 0.8 on five-word shingles the smallest id stays."""
+    """Of documents linked at 0.8 on five-word shingles the smallest id stays; texts without words and null ids stay too."""
     return drop_near_copies(docs, size=5, percent=80)
 
 
@@ -47,7 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens; a null or empty text is its end token alone."""
     return pack_documents(docs, public_tokenizers.path(TOKENIZER), capacity=2048)
 
 
