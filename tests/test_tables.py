@@ -138,3 +138,20 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("hours").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_layers():
+    from pyspark.sql import types as T
+
+    from trailmark.operators import layers as L
+
+    made = lambda name, writes, reads=(): L.Layer(name, {writes: T.StructType([T.StructField("key", T.StringType(), True, {"comment": "whose"})])}, lambda t: {}, reads)
+    known = L.registered({"a": made("a", "x", ("steps",)), "b": made("b", "y", ("x",)), "c": made("c", "z", ("y", "x"))}, {"a": made("a", "x", ("events",))})
+    assert [x.name for x in L.plan(known, tables={"z"})] == ["a", "b", "c"] and known["a"].requires == ("events",)
+    assert [x.name for x in L.plan(known, enabled={"a"})] == ["a"]
+    assert "| key | string | whose |" in L.described(known)
+    for bad in (lambda: L.plan(known, enabled={"q"}), lambda: L.plan(known, tables={"q"}), lambda: L.registered({"a": made("a", "x"), "b": made("b", "x")})):
+        with pytest.raises(L.LayerError):
+            bad()
+    with pytest.raises(L.LayerError, match="each other"):
+        L.plan(L.registered({"a": made("a", "x", ("y",)), "b": made("b", "y", ("x",))}), enabled={"a"})

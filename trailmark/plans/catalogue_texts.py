@@ -9,6 +9,7 @@ from trailmark.operators import events as E
 from trailmark.operators import features as X
 from trailmark.operators import hunts as H
 from trailmark.operators import sampling as M
+from trailmark.operators import signals as G
 from trailmark.plans.catalogue import query
 from trailmark.sources import adapters as A
 from trailmark.sources.views import table, trace_actions, trace_steps
@@ -374,3 +375,190 @@ def g6_tail(spark, d):
 
 
 ORACLE["g6_tail"] = "SELECT c_custkey AS key, c_nationkey AS nation FROM customer JOIN (SELECT c_nationkey AS n, count(*) AS m FROM customer GROUP BY 1) ON c_nationkey = n ORDER BY m, key LIMIT 12"
+
+
+def answers(spark, d, feature, labels, unit="turn"):
+    """Judgments that stand for a model's: each user message gets the label that its length points at."""
+    t = table(spark, d, "conversations").filter("role = 'user'")
+    value = F.element_at(F.array(*map(F.lit, labels)), (F.length("text") % len(labels) + 1).cast("int"))
+    return t.select(F.col("conv_id").cast("string").alias("key"), F.lit(feature).alias("feature"), F.col("turn").alias("index"), F.col("turn").alias("start"), F.col("turn").alias("end"), value.alias("value"))
+
+
+def _labels(labels):
+    return f"list_extract([{', '.join(map(_sql, labels))}], length(text) % {len(labels)} + 1)"
+
+
+def _judged(labels):
+    return f"WITH j AS (SELECT CAST(conv_id AS VARCHAR) AS key, turn, {_labels(labels)} AS v FROM conversations WHERE role = 'user')"
+
+
+@query
+def x30_user_reaction(spark, d):
+    found = G.aggregated(answers(spark, d, "reaction", G.REACTIONS), G.SIGNALS["signals.user_reaction"])
+    return found.withColumn("pushback_share", F.round("pushback_share", 6))
+
+
+ORACLE["x30_user_reaction"] = f"""{_judged(G.REACTIONS)} SELECT key, round(avg(CASE WHEN v IN ('correction', 'rejection', 'failure_report', 'repeat') THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS pushback_share,
+    count(*) FILTER (v IN ('correction', 'rejection', 'failure_report', 'repeat')) AS pushbacks, count(*) FILTER (v = 'failure_report') AS failure_reports, count(*) FILTER (v = 'repeat') AS repeats, arg_max(v, turn) AS ended_with FROM j GROUP BY key"""
+
+
+@query
+def x31_end_state(spark, d):
+    last = answers(spark, d, "end_state", [*G.END_STATES, "unheard"])
+    last = last.groupBy("key", "feature").agg(F.max_by("value", "index").alias("value"))
+    claims = last.select("key", F.lit("agent_claims_done").alias("feature"), F.when(F.col("value") == "done", "TRUE").when(F.col("value") == "partial", "false").alias("value"))
+    return G.aggregated(last.unionByName(claims), G.SIGNALS["signals.end_state"])
+
+
+ORACLE["x31_end_state"] = f"""{_judged([*G.END_STATES, "unheard"])}, l AS (SELECT key, arg_max(v, turn) AS v FROM j GROUP BY key)
+    SELECT key, CASE WHEN v <> 'unheard' THEN v END AS end_state, CASE v WHEN 'done' THEN true WHEN 'partial' THEN false END AS agent_claims_done FROM l"""
+
+
+@query
+def x32_request_fit(spark, d):
+    found = G.aggregated(answers(spark, d, "request_fit", G.FITS), G.SIGNALS["signals.request_fit"])
+    return found.select("key", F.round("unfit_share", 6).alias("unfit_share"), F.round("partly_fit_share", 6).alias("partly_fit_share"))
+
+
+ORACLE["x32_request_fit"] = f"""{_judged(G.FITS)} SELECT key, round(avg(CASE WHEN v = 'no' THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS unfit_share, round(avg(CASE WHEN v = 'partly' THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS partly_fit_share FROM j GROUP BY key"""
+
+
+@query
+def x33_prompt_intent(spark, d):
+    return G.aggregated(answers(spark, d, "intent", [*G.REQUESTS, "none"]), G.SIGNALS["task.prompt_intent"]).withColumn("intents", F.array_join("intents", ","))
+
+
+ORACLE["x33_prompt_intent"] = f"""{_judged([*G.REQUESTS, "none"])} SELECT key, array_to_string(list_sort(list_distinct(list(v))), ',') AS intents, arg_min(v, turn) AS first_intent FROM j GROUP BY key"""
+
+
+@query
+def x34_request_kinds(spark, d):
+    listed = answers(spark, d, "request_kinds", [*G.REQUESTS, "unheard"]).groupBy("key", "feature").agg(F.to_json(F.collect_list("value")).alias("value"))
+    return G.aggregated(listed, G.SIGNALS["task.request_kinds"]).withColumn("request_kinds", F.array_join("request_kinds", ","))
+
+
+ORACLE["x34_request_kinds"] = f"""{_judged([*G.REQUESTS, "unheard"])} SELECT key, coalesce(array_to_string(list_sort(list_distinct(list(v) FILTER (v <> 'unheard'))), ','), '') AS request_kinds FROM j GROUP BY key"""
+
+
+def _flags(name):
+    feature = name.replace(".", "_")
+
+    def run(spark, d):
+        whole = answers(spark, d, feature, ["true", "false"]).groupBy("key", "feature").agg(F.max_by("value", "index").alias("value"))
+        return G.aggregated(whole, G.SIGNALS[name])
+
+    run.__name__ = f"{'x35' if name.startswith('user') else 'x36'}_{feature}"
+    query(run)
+    ORACLE[run.__name__] = f"{_judged(['true', 'false'])} SELECT key, CAST(arg_max(v, turn) AS BOOLEAN) AS {feature} FROM j GROUP BY key"
+
+
+for _name in ("user.complains", "user.corrects", "user.follow_up", "user.approves", "assistant.claims_done", "assistant.asks_user"):
+    _flags(_name)
+
+
+@query
+def x37_configured(spark, d):
+    signal = G.configured([{"name": "tone", "kind": "category", "labels": ["warm", "cold"]}, {"name": "polite", "kind": "boolean"}])
+    whole = answers(spark, d, "tone", ["warm", "cold", "odd"]).groupBy("key", "feature").agg(F.max_by("value", "index").alias("value"))
+    return G.aggregated(whole.unionByName(whole.select("key", F.lit("polite").alias("feature"), (F.col("value") == "warm").cast("string").alias("value"))), signal)
+
+
+ORACLE["x37_configured"] = f"""{_judged(["warm", "cold", "odd"])}, l AS (SELECT key, arg_max(v, turn) AS v FROM j GROUP BY key) SELECT key, CASE WHEN v <> 'odd' THEN v END AS tone, v = 'warm' AS polite FROM l"""
+
+
+def _human_labels(spark, d):
+    t = table(spark, d, "conversations").filter("role = 'user'")
+    return t.select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("step"), F.element_at(F.array(*map(F.lit, G.TURN_LABELS)), (F.length("text") % 11 % 4 + 1).cast("int")).alias("label"))
+
+
+_BOTH = f"""{_judged(G.REACTIONS)}, b AS (SELECT CASE WHEN v IN ('correction', 'rejection', 'failure_report') THEN v ELSE 'non_pushback' END AS judged, list_extract([{', '.join(map(_sql, G.TURN_LABELS))}], length(text) % 11 % 4 + 1) AS label
+    FROM (SELECT *, {_labels(G.REACTIONS)} AS v FROM conversations WHERE role = 'user'))"""
+
+
+@query
+def n27_turn_agreement(spark, d):
+    return G.turn_agreement(answers(spark, d, "reaction", G.REACTIONS), _human_labels(spark, d))
+
+
+ORACLE["n27_turn_agreement"] = f"{_BOTH} SELECT judged, label, count(*) AS n FROM b GROUP BY 1, 2"
+
+
+@query
+def n27_turn_kappa(spark, d):
+    found = G.agreement_of(G.turn_agreement(answers(spark, d, "reaction", G.REACTIONS), _human_labels(spark, d)))
+    return found.select("turns", *[F.round(c, 6).alias(c) for c in ("agreement", "kappa", "agreement_binary", "kappa_binary")])
+
+
+ORACLE["n27_turn_kappa"] = f"""{_BOTH}, c AS (SELECT judged, label, CASE WHEN judged = 'non_pushback' THEN 'n' ELSE 'p' END AS j2, CASE WHEN label = 'non_pushback' THEN 'n' ELSE 'p' END AS l2 FROM b),
+    f AS (SELECT count(*)::DOUBLE AS n, avg((judged = label)::INT) AS po, avg((j2 = l2)::INT) AS po2 FROM c),
+    e AS (SELECT sum(x.a * y.b)::DOUBLE AS e FROM (SELECT judged AS v, count(*) AS a FROM c GROUP BY 1) x JOIN (SELECT label AS v, count(*) AS b FROM c GROUP BY 1) y USING (v)),
+    e2 AS (SELECT sum(x.a * y.b)::DOUBLE AS e2 FROM (SELECT j2 AS v, count(*) AS a FROM c GROUP BY 1) x JOIN (SELECT l2 AS v, count(*) AS b FROM c GROUP BY 1) y USING (v))
+    SELECT CAST(n AS BIGINT) AS turns, round(po, 6) AS agreement, round((po - e / n / n) / (1 - e / n / n), 6) AS kappa, round(po2, 6) AS agreement_binary, round((po2 - e2 / n / n) / (1 - e2 / n / n), 6) AS kappa_binary FROM f, e, e2"""
+
+
+def _readings(spark, d, by):
+    e = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.count("*").alias("n"))
+    found = F.col("n") % by == 0
+    return e.select("key", found.alias("found"), F.when(found, F.concat(F.lit("facet"), F.col("n") % 2)).alias("facet"))
+
+
+@query
+def a22_calibration(spark, d):
+    return G.calibration(_readings(spark, d, 2), _readings(spark, d, 3).filter("cast(key AS LONG) % 4 <> 1")).withColumn("agreement", F.round("agreement", 6))
+
+
+ORACLE["a22_calibration"] = """WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), p AS (SELECT n % 2 = 0 AS s, n % 3 = 0 AS b, n % 2 AS f FROM e WHERE user_id % 4 <> 1)
+    SELECT count(*) AS pairs, count(*) FILTER (s) AS found_shown, count(*) FILTER (b) AS found_blind, count(*) FILTER (s AND b) AS found_both, count(*) FILTER (s AND b) AS same_facet, round(avg((s = b)::INT), 6) AS agreement FROM p"""
+
+
+@query
+def a20_batch_counts(spark, d):
+    population = _readings(spark, d, 2).select("key", F.concat(F.lit("b"), F.col("key").cast("long") % 3).alias("batch"), F.concat(F.lit("s"), F.col("key").cast("long") % 2).alias("stratum"))
+    read = _readings(spark, d, 2).filter("cast(key AS LONG) % 5 < 3")
+    hits = table(spark, d, "events").filter("value > 90").select(F.col("user_id").cast("string").alias("key"))
+    counts = G.batch_counts(population, read, hits)
+    return counts.select("batch", "stratum", "trajectories", "read", "found", F.coalesce(F.col("facets")["facet0"], F.lit(0)).alias("facet0"), "unread_hits")
+
+
+ORACLE["a20_batch_counts"] = """WITH e AS (SELECT user_id, count(*) % 2 = 0 AS found, max(value) > 90 AS hit FROM events GROUP BY 1)
+    SELECT 'b' || (user_id % 3) AS batch, 's' || (user_id % 2) AS stratum, count(*) AS trajectories, count(*) FILTER (user_id % 5 < 3) AS read, count(*) FILTER (user_id % 5 < 3 AND found) AS found,
+      count(*) FILTER (user_id % 5 < 3 AND found) AS facet0, count(*) FILTER (hit AND user_id % 5 >= 3) AS unread_hits FROM e GROUP BY 1, 2"""
+
+
+@query
+def h18_review_agreement(spark, d):
+    verdicts = table(spark, d, "events").filter("event_type = 'click'").select(F.col("user_id").cast("string").alias("key"), (F.col("value") > 50).alias("worth"), F.col("event_id").alias("line"))
+    return G.reviewed(_readings(spark, d, 2), verdicts)
+
+
+ORACLE["h18_review_agreement"] = """WITH r AS (SELECT user_id, count(*) % 2 = 0 AS found FROM events GROUP BY 1), v AS (SELECT user_id, arg_max(value > 50, event_id) AS worth FROM events WHERE event_type = 'click' GROUP BY 1)
+    SELECT count(*) AS reviewed, count(*) FILTER (found = worth) AS agreed, count(*) FILTER (found AND NOT worth) AS overruled, count(*) FILTER (NOT found AND worth) AS missed FROM r JOIN v USING (user_id)"""
+
+
+@query
+def m7_surprise(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").cast("double").alias("surprisal"), "c_nationkey")
+    return G.surprising(c.drop("c_nationkey"), c.filter("c_nationkey < 12"), 15)
+
+
+ORACLE["m7_surprise"] = """WITH m AS (SELECT c_custkey AS key, c_acctbal::DOUBLE AS surprisal FROM customer WHERE c_nationkey >= 12)
+    SELECT key, surprisal, CAST(row_number() OVER (ORDER BY surprisal DESC, key) AS INT) AS rank, (SELECT count(*) FROM m) AS "of" FROM m ORDER BY surprisal DESC, key LIMIT 15"""
+
+
+@query
+def t15_layers(spark, d):
+    """Two layers that only names put in order: error runs read the table of failures."""
+    import pyspark.sql.types as T
+
+    from trailmark.operators import layers as L
+
+    count = T.StructType().add("key", "string").add("failures", "long")
+    flag = T.StructType().add("key", "string").add("often", "boolean")
+    known = L.registered({
+        "often": L.Layer("often", {"often": flag}, lambda t: {"often": t["failures"].select("key", (F.col("failures") > 3).alias("often"))}, ("failures",)),
+        "failing": L.Layer("failing", {"failures": count}, lambda t: {"failures": t["steps"].filter("is_error").groupBy("key").agg(F.count("*").alias("failures"))}, ("steps",)),
+    })
+    return L.computed(L.plan(known, tables={"often"}), {"steps": trace_steps(spark, d)})["often"]
+
+
+ORACLE["t15_layers"] = "SELECT CAST(user_id AS VARCHAR) AS key, count(*) > 3 AS often FROM events WHERE event_type = 'error' GROUP BY user_id"
