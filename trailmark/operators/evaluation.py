@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.operators.sampling import shuffled
-from trailmark.operators.stats import running
+from trailmark.operators.stats import quantiles, running
 
 FOLDS, LEAST_ROWS = 5, 50
 
@@ -142,7 +142,7 @@ def tail_counts(df: DataFrame, reference: DataFrame, column: str) -> DataFrame:
 
 def median_labels(df: DataFrame, column: str, above: str = "failure", below: str = "other") -> DataFrame:
     """Rows above the median."""
-    cut = df.agg(F.percentile(column, 0.5)).first()[0]
+    cut = quantiles(df, [], column, {"cut": 0.5}).first()["cut"]
     return df.withColumn("label", F.when(F.col(column) > cut, above).otherwise(below))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators.events import events_in_turns
+from trailmark.operators.stats import quantiles
 
 
 def page(df: DataFrame, sort: str, key: str, size: int, number: int = 0, descending: bool = True) -> DataFrame:
@@ -107,8 +108,9 @@ def typical(df: DataFrame, batch: str, column: str, kind: str) -> DataFrame:
     if kind == "category":
         counts = df.filter(F.col(column).isNotNull()).groupBy(batch, F.col(column).alias("label")).agg(F.count("*").alias("n"))
         return counts.groupBy(batch).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("typical"))
-    value = F.avg(F.col(column).cast("double")) if kind == "boolean" else F.percentile(column, 0.5)
-    return df.groupBy(batch).agg(value.alias("typical"))
+    if kind == "boolean":
+        return df.groupBy(batch).agg(F.avg(F.col(column).cast("double")).alias("typical"))
+    return df.select(batch).distinct().join(quantiles(df, [batch], column, {"typical": 0.5}), batch, "left")
 
 
 def complete(frame: DataFrame, groups: list[DataFrame]) -> DataFrame:

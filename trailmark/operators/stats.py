@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 def profile(df: DataFrame, group: str, column: str) -> DataFrame:
     """A1: counts, zeros, extremes, mean, median, 90 % per group."""
     c = F.col(column)
-    return df.groupBy(group).agg(
+    own = df.groupBy(group).agg(
         F.count("*").alias("n"), F.count(c).alias("present"), F.count_distinct(c).alias("distinct_values"), F.count_if(c == 0).alias("zeros"),
-        F.min(c).alias("lowest"), F.max(c).alias("highest"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), F.percentile(c, 0.9).alias("p90"),
+        F.min(c).alias("lowest"), F.max(c).alias("highest"), F.avg(c).alias("mean"),
     )
+    return own.join(quantiles(df, [group], column, {"median": 0.5, "p90": 0.9}), group, "left")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
@@ -84,6 +85,29 @@ def running(counts: DataFrame, by: list[str], order: str, values: list[str], par
     return joined.select(*counts.columns, *[(F.sum(v).over(own) + F.col(f"__{v}")).alias(f"{v}_upto") for v in values])
 
 
+def quantiles(df: DataFrame, by: list[str], column: str, wanted: dict[str, float]) -> DataFrame:
+    """Per group the exact, interpolated quantiles of a column by name.
+
+    Values are counted map-side and looked up by their running counts, so no task holds all values of a group.
+    """
+    x = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("__x")).agg(F.count("*").alias("__n"))
+    upto = running(x, by, "__x", ["__n"]).join(x.groupBy(*by).agg(F.sum("__n").alias("__all")), by) if by else running(x, by, "__x", ["__n"]).join(F.broadcast(x.agg(F.sum("__n").alias("__all"))))
+    ends = []
+    for name, q in wanted.items():
+        place = q * (F.col("__all") - 1)
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            ends.append(F.min(F.when(F.col("__n_upto") > rank, F.col("__x"))).alias(f"__{name}_{side}"))
+        ends.append(F.first(place - F.floor(place)).alias(f"__{name}_rest"))
+    found = upto.groupBy(*by).agg(*ends)
+    return found.select(*by, *[(F.col(f"__{n}_lo") + (F.col(f"__{n}_hi") - F.col(f"__{n}_lo")) * F.col(f"__{n}_rest")).alias(n) for n in wanted])
+
+
+def edges_of(df: DataFrame, column: str, cuts: int) -> list[float]:
+    """The distinct edges between equal shares of a column, lowest and highest among them."""
+    row = quantiles(df, [], column, {f"e{i}": i / cuts for i in range(cuts + 1)}).first()
+    return sorted({v for v in row if v is not None}) if row else []
+
+
 def ks_statistic(df: DataFrame, group: str, side: Column, value: str) -> DataFrame:
     """Per group, the largest gap between the distributions of the two sides, by running counts over distinct values."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("x")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
@@ -157,10 +181,10 @@ def outliers(vectors: DataFrame, stratum: str, k: int = 10) -> DataFrame:
     """Mean distance to the k nearest over the stratum's median of it (its mean, then 1, where that is 0); null below three."""
     means = nearest(vectors, stratum, k).groupBy("key").agg(F.avg("distance").alias("mean_distance"))
     own = vectors.select("key", stratum).join(means, "key", "left")
-    part = Window.partitionBy(stratum)
-    middle = F.percentile("mean_distance", 0.5).over(part)
-    scale = F.coalesce(F.nullif(middle, F.lit(0.0)), F.nullif(F.avg("mean_distance").over(part), F.lit(0.0)), F.lit(1.0))
-    return own.withColumn("outlier", F.when(F.count("*").over(part) >= 3, F.col("mean_distance") / scale)).select("key", stratum, "outlier")
+    sizes = own.groupBy(stratum).agg(F.count("*").alias("__rows"), F.avg("mean_distance").alias("__mean"))
+    scales = sizes.join(quantiles(own, [stratum], "mean_distance", {"__middle": 0.5}), stratum, "left")
+    scale = F.coalesce(F.nullif("__middle", F.lit(0.0)), F.nullif("__mean", F.lit(0.0)), F.lit(1.0))
+    return own.join(scales, stratum).withColumn("outlier", F.when(F.col("__rows") >= 3, F.col("mean_distance") / scale)).select("key", stratum, "outlier")
 
 
 def anomaly_scores(outlier: DataFrame, events: DataFrame, lift: DataFrame) -> DataFrame:
@@ -195,7 +219,7 @@ def ranked(df: DataFrame, score: str, key: str, parts: int = 1024) -> DataFrame:
 
 def quartile_labels(df: DataFrame, column: str, none: str = "none") -> Column:
     """Right-closed intervals between distinct quartile edges, the lowest closed on both sides."""
-    edges = sorted(set(df.agg(F.percentile(column, F.array(*[F.lit(x / 4) for x in range(5)]))).first()[0] or []))
+    edges = edges_of(df, column, 4)
     if len(edges) < 2:
         return F.coalesce(F.col(column).cast("string"), F.lit(none))
     label = F.when(F.col(column).isNull(), none)
@@ -224,7 +248,7 @@ def jensen_shannon(df: DataFrame, bin_: str, side: Column) -> DataFrame:
 
 def decile_bins(df: DataFrame, reference: DataFrame, column: str) -> DataFrame:
     """Bins by the reference's deciles; a value equal to an edge has a bin of its own (two searches, added)."""
-    edges = sorted(set(reference.agg(F.percentile(column, F.array(*[F.lit(i / 10) for i in range(11)]))).first()[0]))
+    edges = edges_of(reference, column, 10)
     listed = "array(" + ", ".join(f"{e!r}D" for e in edges) + ")"
     return df.withColumn("bin", F.expr(f"size(filter({listed}, e -> e < `{column}`)) + size(filter({listed}, e -> e <= `{column}`))").cast("long"))
 

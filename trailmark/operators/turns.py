@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.stats import quantiles
 from trailmark.operators.steps import duration_seconds, is_user_message
 
 EDITING = ("edit", "create", "delete", "notebook")
@@ -70,11 +71,10 @@ def turn_stats(turns: DataFrame) -> DataFrame:
 
 def oversight(turns: DataFrame, batch: str) -> DataFrame:
     """Per batch, shares of turns that ask or are interrupted, durations, calls per turn."""
-    return turns.groupBy(batch).agg(
+    own = turns.groupBy(batch).agg(
         F.count("*").alias("turns"),
         F.avg((F.col("ended_by") == "ask").cast("double")).alias("ask_share"),
         F.avg((F.col("ended_by") == "interrupt").cast("double")).alias("interrupt_share"),
-        F.percentile("duration_s", 0.5).alias("duration_p50"),
-        F.percentile("duration_s", 0.99).alias("duration_p99"),
         F.avg("calls").alias("calls_per_turn"),
     )
+    return own.join(quantiles(turns, [batch], "duration_s", {"duration_p50": 0.5, "duration_p99": 0.99}), batch, "left")
