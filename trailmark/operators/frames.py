@@ -23,6 +23,15 @@ def top_labels(df: DataFrame, column: str, limit: int = TOP_LABELS) -> list[str]
     return [r["label"] for r in rows]
 
 
+def labels_of(df: DataFrame, column: str, most: int = 1000) -> list[str]:
+    """The labels a category or set column holds, sorted; a column of more than ``most`` is no category."""
+    value = F.explode(column) if dict(df.dtypes)[column].startswith("array") else F.col(column)
+    found = sorted(r["label"] for r in df.select(value.alias("label")).filter("label IS NOT NULL").distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} labels")
+    return found
+
+
 def one_hot(column: str, labels: list[str]) -> list[Column]:
     """V3: null stays null."""
     return [F.when(F.col(column).isNotNull(), (F.col(column) == x).cast("double")).alias(f"{column}__{x}") for x in labels]

@@ -307,7 +307,7 @@ def n7_outlier(spark, d):
 def n8_anomaly_rank(spark, d):
     a = trace_actions(spark, d)
     events = E.failure_runs(a).unionByName(E.unasked_side_effects(a))
-    lift = spark.sql("SELECT * FROM VALUES ('failure_run', 1.5D) AS t(rule, lift)")
+    lift = a13_lift(spark, d).select("rule", "lift")
     keys = S.trajectories(trace_steps(spark, d)).select("key", (F.col("steps") % 7 / 10.0).cast("double").alias("outlier"))
     scored = N.anomaly_scores(keys, events, lift)
     return rounded(N.ranked(scored.withColumn("anomaly_score", F.round("anomaly_score", 9)), "anomaly_score", "key"), "events_score", "anomaly_score").select("key", "events_score", "anomaly_score", "rank")
@@ -372,13 +372,14 @@ def n20_level_surprisal(spark, d):
 @query
 def v3_onehot(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", *V.one_hot("lang", ["de", "en", "es", "fr"]))
+    return docs.select("doc_id", *V.one_hot("lang", V.labels_of(docs, "lang")))
 
 
 @query
 def v4_multihot(spark, d):
-    sets = table(spark, d, "events").groupBy(F.col("user_id").alias("key")).agg(F.collect_set(F.when(F.col("value") > 90, F.col("event_type"))).alias("kinds"))
-    return sets.select("key", *V.multi_hot("kinds", ["click", "error", "view"]))
+    events = table(spark, d, "events")
+    sets = events.groupBy(F.col("user_id").alias("key")).agg(F.collect_set(F.when(F.col("value") > 90, F.col("event_type"))).alias("kinds"))
+    return sets.select("key", *V.multi_hot("kinds", V.labels_of(events, "event_type")))
 
 
 @query

@@ -200,8 +200,10 @@ def z_sessions(spark, d):
 
 @query
 def m4_diversity(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), *[F.col("embedding")[i].cast("double").alias(f"v{i}") for i in range(8)])
-    return M.diverse(e, [f"v{i}" for i in range(8)], 20, clusters=8, seed=1).select("key", "cluster")
+    e = table(spark, d, "embeddings")
+    size = e.agg(F.max(F.size("embedding"))).first()[0]
+    e = e.select(F.col("vec_id").alias("key"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"v{i}") for i in range(size)])
+    return M.diverse(e, [f"v{i}" for i in range(size)], 20, clusters=8, seed=1).select("key", "cluster")
 
 
 @query

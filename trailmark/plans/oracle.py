@@ -167,7 +167,9 @@ ORACLE: dict[str, str] = {
     "n7_outlier": """WITH d AS (SELECT a.vec_id AS key, a.label AS stratum, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS distance, b.vec_id AS o FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round(distance, 9), o) AS rank FROM d), m AS (SELECT key, stratum, avg(distance) AS m FROM r WHERE rank <= 10 GROUP BY 1, 2),
         q AS (SELECT stratum, quantile_cont(m, 0.5) AS med FROM m GROUP BY 1) SELECT m.key, m.stratum, round(m.m / q.med, 5) AS outlier FROM m JOIN q ON q.stratum = m.stratum""",
-    "n8_anomaly_rank": f"""WITH {_TRACE}, {_RUNS}, {_UNASKED}, op AS (SELECT key, 0.5::DOUBLE AS w FROM fr WHERE recovered_at IS NULL UNION ALL SELECT key, 1.0::DOUBLE FROM ua),
+    "n8_anomaly_rank": f"""WITH {_TRACE}, {_RUNS}, {_UNASKED}, lf AS (SELECT rule, lift FROM (@LIFT)),
+        un AS (SELECT key, rule FROM fr WHERE recovered_at IS NULL UNION ALL SELECT key, rule FROM ua),
+        op AS (SELECT key, greatest(coalesce(lift - 1, 1.0), 0.0)::DOUBLE AS w FROM un LEFT JOIN lf ON lf.rule = un.rule),
         sc AS (SELECT key, ln(1 + sum(w)) AS s FROM op GROUP BY key), k AS (SELECT key, count(*) % 7 / 10.0::DOUBLE AS o FROM tr GROUP BY key),
         j AS (SELECT k.key, coalesce(s, 0.0) AS events_score, o + coalesce(s, 0.0) AS anomaly_score FROM k LEFT JOIN sc ON sc.key = k.key)
         SELECT key, round(events_score, 6) AS events_score, round(anomaly_score, 6) AS anomaly_score, row_number() OVER (ORDER BY round(anomaly_score, 9) DESC, key) AS rank FROM j""",
@@ -195,7 +197,7 @@ ORACLE: dict[str, str] = {
           LEFT JOIN c ON c.node = x.node AND c.depth = x.depth LEFT JOIN c p ON p.node = x.parent AND p.depth = x.depth - 1 LEFT JOIN k ON k.parent = x.parent AND k.depth = x.depth - 1 WHERE x.depth > 0 GROUP BY 1, 2)
         SELECT s.key, CAST(s.depth AS BIGINT) AS depth, round(t / e, 6) AS surprisal FROM s JOIN e ON e.key = s.key""",
     "v3_onehot": "SELECT doc_id, " + ", ".join(f"CASE WHEN lang IS NOT NULL THEN CASE WHEN lang = '{x}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS lang__{x}" for x in ("de", "en", "es", "fr")) + " FROM documents",
-    "v4_multihot": "SELECT user_id AS key, " + ", ".join(f"CASE WHEN bool_or(value > 90 AND event_type = '{x}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS kinds__{x}" for x in ("click", "error", "view")) + ", count(DISTINCT CASE WHEN value > 90 THEN event_type END)::DOUBLE AS kinds__count FROM events GROUP BY 1",
+    "v4_multihot": "SELECT user_id AS key, " + ", ".join(f"CASE WHEN bool_or(value > 90 AND event_type = '{x}') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS kinds__{x}" for x in ("click", "error", "purchase", "signup", "view")) + ", count(DISTINCT CASE WHEN value > 90 THEN event_type END)::DOUBLE AS kinds__count FROM events GROUP BY 1",
     "v5_map_columns": f"WITH {_TRACE} SELECT key, " + ", ".join(f"count(*) FILTER (WHERE tool = 'tool{i}' AND outcome = 'error')::DOUBLE AS tool_errors__tool{i}" for i in range(3)) + " FROM act GROUP BY key",
     "v6_vector_aggs": """WITH e AS (SELECT vec_id AS key, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT key, round(list_max(v), 5) AS embedding__max, round(list_min(v), 5) AS embedding__min, round(list_avg(v), 5) AS embedding__mean,
         round(v[1], 5) AS embedding__first, round(v[-1], 5) AS embedding__last, """ + ", ".join(f"round(v[1 + CAST(floor({i} * (len(v) - 1) / 4.0) AS INT)] + (v[1 + CAST(ceil({i} * (len(v) - 1) / 4.0) AS INT)] - v[1 + CAST(floor({i} * (len(v) - 1) / 4.0) AS INT)]) * ({i} * (len(v) - 1) / 4.0::DOUBLE - floor({i} * (len(v) - 1) / 4.0)), 5) AS t{i}" for i in range(5)) + " FROM e",
@@ -262,3 +264,4 @@ ORACLE |= {
     "k12_restricted": """SELECT CAST(conv_id AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS steps, CAST(NULL AS VARCHAR) AS secret FROM conversations WHERE conv_id % 2 = 0 GROUP BY 1""",
 }
 
+ORACLE["n8_anomaly_rank"] = ORACLE["n8_anomaly_rank"].replace("@LIFT", ORACLE["a13_lift"])
