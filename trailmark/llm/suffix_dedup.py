@@ -239,7 +239,7 @@ def _salted(rows: DataFrame, keys: list[str], salt: str) -> tuple[DataFrame, Dat
     return rows, rows.groupBy(*keys).agg(F.count("*").alias("m"), F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 256, gram: int = 32, shard: int = 500_000, contents: int = 1024) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 256, gram: int = 64, shard: int = 500_000, contents: int = 1024) -> DataFrame:
     """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages``, and ``spans`` as first, end, ...
 
     Texts are UTF-8 bytes, read whole; a null text is empty, and texts under ``length`` bytes lose nothing.
