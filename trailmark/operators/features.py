@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.functions.objects import file_role
+
 from trailmark.operators.relations import OBSERVING
 from trailmark.operators.steps import duration_seconds, is_user_message
 from trailmark.operators.turns import EDITING, SIDE_EFFECTS, VERIFYING
@@ -117,6 +119,18 @@ def action_features(actions: DataFrame, relations: DataFrame) -> DataFrame:
     )
 
 
+def edited_roles(actions: DataFrame, role: Column | None = None) -> DataFrame:
+    """Of a trajectory's edited files, the share that are tests, and that are configuration or lock files."""
+    files = actions.filter(F.col("act").isin(*EDITING)).select("key", F.explode(F.array_distinct("paths")).alias("path")).distinct()
+    roles = files.withColumn("role", file_role(F.col("path")) if role is None else role)
+    return roles.groupBy("key").agg(F.avg((F.col("role") == "test").cast("double")).alias("test_edit_share"), F.avg(F.col("role").isin("config", "lock").cast("double")).alias("config_edit_share"))
+
+
+def unknown_programs(actions: DataFrame) -> DataFrame:
+    """Of the shell commands, those with a program, the share whose program isn't known."""
+    return actions.filter("program IS NOT NULL").groupBy("key").agg(F.avg((F.col("act") == "other").cast("double")).alias("unknown_program_share"))
+
+
 def recovery_share(actions: DataFrame) -> DataFrame:
     """Of the paths that failed, the share whose first failing act later succeeded on them."""
     by_path = actions.withColumn("path", F.explode(F.array_distinct("paths")))

@@ -6,6 +6,7 @@ from regions not yet covered and at random.  Answers of readers are given as tab
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -183,3 +184,47 @@ def tail(df: DataFrame, column: str, kind: str, n: int = 12) -> DataFrame:
         return df.join(counts, column).orderBy("__n", "key").limit(n).drop("__n")
     rank = {"scalar": F.col(column), "boolean": F.col(column).cast("int"), "set": F.size(column), "event": F.size(column), "paths": F.size(column), "map": F.size(column), "vector": F.array_max(column) if kind == "vector" else F.lit(0)}[kind]
     return df.filter(F.col(column).isNotNull()).orderBy(F.desc(rank), "key").limit(n)
+
+
+def code_probe(name: str, tables: dict[str, DataFrame], find: Callable[[dict[str, DataFrame]], DataFrame]) -> DataFrame:
+    """A probe written as a function from tables to (key, step, note), held to the same columns as a query."""
+    out = find(tables)
+    if sorted(out.columns) != ["key", "note", "step"]:
+        raise SqlError(f"{name} gives {out.columns}, not key, step, note")
+    return out.select(F.lit(name).alias("probe"), "key", F.col("step").cast("long").alias("step"), F.col("note").cast("string").alias("note")).dropDuplicates()
+
+
+def misplaced(hits: DataFrame, lengths: DataFrame) -> DataFrame:
+    """H4: hits at steps that their trajectory (key, steps) doesn't have, and of trajectories there are none of."""
+    return hits.join(lengths, "key", "left").filter(F.col("steps").isNull() | (F.col("step") < 0) | (F.col("step") >= F.col("steps"))).select("probe", "key", "step")
+
+
+def verdict_table(hunt: str, readings: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row per reading: hunt, key, round, found, facet, and the probes that hit the trajectory, sorted."""
+    probes = hits.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("probe")), ",").alias("probes"))
+    return readings.join(probes, "key", "left").select(F.lit(hunt).alias("hunt"), "key", "round", "found", "facet", F.coalesce("probes", F.lit("")).alias("probes"))
+
+
+def confirmed_cases(readings: DataFrame, draws: DataFrame) -> DataFrame:
+    """By round and source of the draw: read, found and the share, in the order they were read."""
+    both = draws.join(readings, "key")
+    return both.groupBy(F.col("round"), "source").agg(F.count("*").alias("read"), F.count_if("found").alias("found"), F.avg(F.col("found").cast("double")).alias("share"))
+
+
+def tried(probe: DataFrame, readings: DataFrame) -> DataFrame:
+    """What a new probe would have hit among what was read: one row of hits, read, found, missed."""
+    hit = probe.select("key").distinct().withColumn("hit", F.lit(True))
+    joined = readings.select("key", "found").join(hit, "key", "full_outer")
+    here = F.coalesce("hit", F.lit(False))
+    return joined.agg(F.count_if(here).alias("hits"), F.count_if(here & F.col("found").isNotNull()).alias("read"), F.count_if(here & F.col("found")).alias("found"), F.count_if(~here & F.col("found")).alias("missed"))
+
+
+def kept_probes(text: str, known: set[str]) -> dict[str, dict]:
+    """Kept probes from their JSON text: name -> facet, kind and source; a facet nobody knows is an error."""
+    found = json.loads(text)
+    for name, probe in found.items():
+        if set(probe) != {"facet", "kind", "source"} or probe["kind"] not in ("sql", "code"):
+            raise SqlError(f"{name}: a probe has a facet, a kind (sql or code) and a source")
+        if probe["facet"] not in known:
+            raise SqlError(f"{name}: unknown facet {probe['facet']!r}")
+    return dict(sorted(found.items()))

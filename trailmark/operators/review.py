@@ -121,3 +121,56 @@ def complete(frame: DataFrame, groups: list[DataFrame]) -> DataFrame:
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one side only, with multiplicity."""
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def selected(index: DataFrame, keys: list[str] | None = None, datasets: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """The index (key, dataset, place) by given keys, by datasets and to the first ``limit`` in its order; unknown keys are an error."""
+    found = index
+    if keys is not None:
+        wanted = index.sparkSession.createDataFrame([(k,) for k in keys], "key string")
+        if lost := [r["key"] for r in wanted.join(index, "key", "left_anti").orderBy("key").limit(5).collect()]:
+            raise ValueError(f"unknown keys {lost}")
+        found = found.join(F.broadcast(wanted.distinct()), "key", "left_semi")
+    if datasets is not None:
+        found = found.filter(F.col("dataset").isin(*datasets))
+    return found.orderBy("place", "key").limit(limit) if limit is not None else found
+
+
+def context_frame(index: DataFrame, categories: DataFrame, batches: DataFrame) -> DataFrame:
+    """What an anomaly is seen against: dataset, the context categories, batch and stratum of a trajectory."""
+    return index.select("key", "dataset").join(categories, "key", "left").join(batches.select("key", "batch", "stratum"), "key", "left")
+
+
+def attached(view: DataFrame, columns: DataFrame) -> DataFrame:
+    """Columns (key, ...) beside a query view; a name that is there already is an error, and every row stays."""
+    if twice := sorted((set(view.columns) & set(columns.columns)) - {"key"}):
+        raise ValueError(f"columns that are there already: {twice}")
+    return view.join(columns, "key", "left")
+
+
+def canonical_value(column: str, kind: str) -> Column:
+    """a value as text by which equal values are equal; a set's order doesn't matter, nor a map's."""
+    if kind == "set":
+        return F.to_json(F.array_sort(F.array_distinct(column)))
+    if kind == "map":
+        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(column))))
+    return F.to_json(F.struct(F.col(column).alias("v")))
+
+
+def distinct_values(df: DataFrame, column: str, kind: str) -> DataFrame:
+    """A15."""
+    return df.filter(F.col(column).isNotNull()).agg(F.count_distinct(canonical_value(column, kind)).alias("distinct_values"))
+
+
+def measured(*features: DataFrame) -> DataFrame:
+    """Keys that every feature measured (key, status)."""
+    out = None
+    for df in features:
+        own = df.filter("status = 'ok'").select("key").distinct()
+        out = own if out is None else out.join(own, "key", "left_semi")
+    return out
+
+
+def reference_set(index: DataFrame, datasets: list[str], excluded: DataFrame) -> DataFrame:
+    """P12."""
+    return index.filter(F.col("dataset").isin(*datasets)).join(excluded.select("key"), "key", "left_anti")

@@ -32,16 +32,18 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     import trailmark.plans.catalogue_more  # noqa: F401  registers the rest
+    import trailmark.plans.catalogue_cases  # noqa: F401
     import trailmark.plans.catalogue_texts  # noqa: F401
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from trailmark.plans.catalogue_cases import ORACLE as OF_CASES
     from trailmark.plans.catalogue_texts import ORACLE as OF_TEXTS
 
     known = queries()
-    return {k: v for k, v in (ORACLE | OF_TEXTS).items() if k in known}
+    return {k: v for k, v in (ORACLE | OF_TEXTS | OF_CASES).items() if k in known}
 
 
 def chat_turns(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ast
 import hashlib
+import importlib
 import json
 import re
 from collections import Counter
@@ -326,5 +327,35 @@ def missing_calls(recorded: DataFrame, steps: DataFrame) -> DataFrame:
 ADAPTERS: dict[str, Callable[..., DataFrame]] = {"messages": read_messages, "sessions": read_sessions, "atif": read_atif}
 
 
+def adapter(name: str, own: dict[str, Callable[..., DataFrame]] | None = None) -> Callable[..., DataFrame]:
+    """A project's reader of that name, a library's, or what ``module:function`` names."""
+    known = ADAPTERS | (own or {})
+    if name in known:
+        return known[name]
+    module, _, function = name.partition(":")
+    if not function:
+        raise Violation(f"no adapter {name!r}; there are {sorted(known)}")
+    try:
+        return getattr(importlib.import_module(module), function)
+    except (ImportError, AttributeError) as e:
+        raise Violation(f"adapter {name!r}: {e}") from e
+
+
+def path_metadata(file: Column, pattern: str) -> Column:
+    """The named groups of a pattern over a file's path, as JSON; null where it doesn't match."""
+    names = list(re.compile(pattern).groupindex)
+    plain = re.sub(r"\(\?P<\w+>", "(", pattern)
+    if len(names) != re.compile(pattern).groups:
+        raise Violation("every group of a path pattern has a name")
+    return F.when(file.rlike(plain), F.to_json(F.struct(*[F.regexp_extract(file, plain, i).alias(n) for i, n in enumerate(names, 1)])))
+
+
+def index_of(steps: DataFrame, datasets: list[str]) -> DataFrame:
+    """Key, dataset, place, n_steps, chars, digest of a trajectory's text; datasets in the order they are configured in."""
+    place = F.array_position(F.array(*map(F.lit, datasets)), F.col("dataset"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "role", "content"))), lambda s: F.concat_ws("\n", s["role"], s["content"])), "\n\n")
+    return steps.filter(F.col("dataset").isin(*datasets)).groupBy("key", "dataset").agg(F.count("*").alias("n_steps"), F.sum(F.length("content")).alias("chars"), F.sha2(text, 256).alias("digest")).withColumn("place", place)
+
+
 def roles_seen(records: list[dict], key: str = "role") -> Counter:
     return Counter(m.get(key) for r in records for m in r.get("messages", []))
