@@ -155,3 +155,53 @@ def test_layers():
             bad()
     with pytest.raises(L.LayerError, match="each other"):
         L.plan(L.registered({"a": made("a", "x", ("y",)), "b": made("b", "y", ("x",))}), enabled={"a"})
+
+
+def test_diverse_picks_round_by_round(spark):
+    """Three groups far apart: the members nearest to each centre first, the largest group first, then the next nearest."""
+    at = {"a": [0.0, 1.0, 2.0, 3.0, 4.0, 5.5], "b": [100.0, 101.0, 102.0, 105.0], "c": [200.0, 203.0]}
+    rows = [(f"{g}{i}", x, 0.0) for g, xs in at.items() for i, x in enumerate(xs)]
+    got = [r["key"] for r in M.diverse(spark.createDataFrame(rows, "key string, x double, y double"), ["x", "y"], 7, clusters=3, seed=1).collect()]
+    want = []
+    for turn in range(3):
+        for g, xs in at.items():
+            centre = sum(xs) / len(xs)
+            near = sorted(range(len(xs)), key=lambda i, c=centre, xs=xs: (abs(xs[i] - c), i))
+            want += [f"{g}{near[turn]}"] if turn < len(near) else []
+    assert got == want[:7]
+
+
+def test_dependences_tell_a_copy_from_noise(spark):
+    rows = [(f"k{i}", float(i * 37 % 101), float(i * 53 % 97)) for i in range(90)]
+    df = spark.createDataFrame(rows, "key string, x double, noise double").withColumn("double", F.col("x") * 2)
+    r = {(x["x"], x["y"]): x["r"] for x in EV.dependences(df, {"x": ["x"], "double": ["double"], "noise": ["noise"]}).collect()}
+    assert len(r) == 6 and r["x", "double"] > 0.9 and r["double", "x"] > 0.9 and r["noise", "x"] < 0.5
+
+
+def test_selection_and_attachment(spark):
+    from trailmark.operators import review as RV
+
+    index = spark.createDataFrame([("a", "d", 1), ("b", "d", 1), ("c", "e", 2)], "key string, dataset string, place int")
+    assert [r["key"] for r in RV.selected(index, keys=["c", "a"], limit=1).collect()] == ["a"]
+    with pytest.raises(ValueError, match="unknown keys"):
+        RV.selected(index, keys=["a", "zz"])
+    with pytest.raises(ValueError, match="there already"):
+        RV.attached(index, index)
+
+
+def test_kept_probes():
+    good = '{"b": {"facet": "f", "kind": "sql", "source": "SELECT 1"}, "a": {"facet": "f", "kind": "code", "source": "x"}}'
+    assert list(H.kept_probes(good, {"f"})) == ["a", "b"]
+    for text, known in ((good, {"g"}), ('{"a": {"facet": "f"}}', {"f"}), (good.replace("sql", "perl"), {"f"})):
+        with pytest.raises(H.SqlError):
+            H.kept_probes(text, known)
+
+
+def test_adapters_by_name():
+    from trailmark.sources import adapters as A
+
+    assert A.adapter("atif") is A.read_atif and A.adapter("atif", {"atif": A.read_messages}) is A.read_messages
+    assert A.adapter("trailmark.sources.adapters:read_sessions") is A.read_sessions
+    for bad in ("nothing", "trailmark.sources.adapters:nothing", "no.such.module:x"):
+        with pytest.raises(A.Violation):
+            A.adapter(bad)
