@@ -205,3 +205,23 @@ def test_adapters_by_name():
     for bad in ("nothing", "trailmark.sources.adapters:nothing", "no.such.module:x"):
         with pytest.raises(A.Violation):
             A.adapter(bad)
+
+
+def test_mining_rounds():
+    """One is added, one revised once and then rejected, one fails, one has a bad name; two quiet rounds end it."""
+    from trailmark.operators import mining as MI
+
+    good = {"compared": 9, "noise": 0.0, "varying": 0.5, "distinct": 3, "examples": 2, "wrong": 0}
+
+    def trial(name, spec):
+        if name == "broken":
+            raise MI.TrialError("no scope")
+        return good | ({"noise": 0.5} if name == "noisy" else {})
+
+    spec = {"type": "boolean"}
+    proposals = [{"fine": spec, "noisy": spec, "Bad Name": spec}, {"noisy": spec, "broken": spec}, {}]
+    state = MI.mine(lambda s: proposals[min(s.rounds, 2)], trial, {"old"})
+    assert list(state.accepted) == ["fine"] and state.rounds == 3
+    assert [(r, n, x) for r, n, x, _ in state.log] == [(0, "Bad Name", "reject"), (0, "fine", "add"), (0, "noisy", "revise"), (1, "broken", "reject"), (1, "noisy", "reject")]
+    assert MI.settled(good | {"wrong": 1}, judged=False)[0] == "reject" and MI.settled(good | {"varying": 0.0})[0] == "reject"
+    assert MI.settled(good | {"distinct": 500})[0] == "revise" and MI.settled(good | {"compared": 0})[0] == "reject"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trailmark.operators import events as E
 from trailmark.operators import features as X
 from trailmark.operators import hunts as H
+from trailmark.operators import mining as MI
 from trailmark.operators import relations as R
 from trailmark.operators import review as RV
 from trailmark.operators import sinks as K
@@ -248,3 +249,62 @@ def h16_verdict_table(spark, d):
 
 
 ORACLE["h16_verdict_table"] = f"WITH {_HIT} SELECT 'slow calls' AS hunt, rd.key, round, found, facet, CASE WHEN rd.key IN (SELECT key FROM hit) THEN 'slow' ELSE '' END AS probes FROM rd"
+
+
+def _values(spark, d, by):
+    e = table(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("key")).agg(F.count("*").alias("n"))
+    return e.select("key", F.concat(F.lit("v"), F.floor(F.col("n") / by) % 3).alias("value"))
+
+
+@query
+def g3_trial_figures(spark, d):
+    first, second = _values(spark, d, 1), _values(spark, d, 2)
+    sample = first.filter("cast(key AS LONG) % 2 = 0").select("key")
+    examples = first.filter("cast(key AS LONG) < 6").withColumn("value", F.when(F.col("key") == "4", "v9").otherwise(F.col("value")))
+    return rounded(MI.trial_figures(first, second, sample, examples, "category"), "noise", "varying")
+
+
+ORACLE["g3_trial_figures"] = """WITH v AS (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1), p AS (SELECT k, n % 3 AS x, CAST(floor(n / 2) AS BIGINT) % 3 AS y FROM v), s AS (SELECT * FROM p WHERE k % 2 = 0),
+    t AS (SELECT x, count(*) AS n FROM s GROUP BY x)
+    SELECT (SELECT count(*) FROM s) AS compared, (SELECT round(avg((x <> y)::INT), 6) FROM s) AS noise, (SELECT round(1 - max(n) / sum(n), 6) FROM t) AS varying, (SELECT count(*) FROM t) AS "distinct",
+      (SELECT count(*) FROM p WHERE k < 6) AS examples, (SELECT count(*) FROM p WHERE k = 4) AS wrong"""
+
+
+@query
+def g4_trial_sample(spark, d):
+    population = _values(spark, d, 1)
+    chosen = population.filter("cast(key AS LONG) % 10 = 1")
+    return MI.trial_sample(population, chosen, population.filter("key IN ('2', '3')"), 12, seed=4, scope="value <> 'v0'", least=2)
+
+
+ORACLE["g4_trial_sample"] = """WITH p AS (SELECT CAST(user_id AS VARCHAR) AS key FROM events GROUP BY user_id HAVING count(*) % 3 <> 0), h AS (SELECT key FROM p WHERE CAST(key AS BIGINT) % 10 = 1 ORDER BY key LIMIT 12),
+    r AS (SELECT key, row_number() OVER (ORDER BY md5('4:' || key), key) AS n FROM p WHERE key NOT IN (SELECT key FROM h) AND key NOT IN ('2', '3'))
+    SELECT key, true AS held_out FROM h UNION ALL SELECT key, false FROM r WHERE n <= 12 - (SELECT count(*) FROM h)"""
+
+
+@query
+def r1_catalogue(spark, d):
+    return MI.catalogue({"steps": chat_steps(spark, d), "orders": table(spark, d, "orders").select("o_orderkey", "o_totalprice")})
+
+
+ORACLE["r1_catalogue"] = """SELECT * FROM (VALUES ('orders', 0, 'o_orderkey', 'bigint', ''), ('orders', 1, 'o_totalprice', 'double', ''), ('steps', 0, 'key', 'string', ''), ('steps', 1, 'step', @TURN, ''), ('steps', 2, 'role', 'string', ''),
+    ('steps', 3, 'kind', 'string', ''), ('steps', 4, 'name', 'string', ''), ('steps', 5, 'content', 'string', ''), ('steps', 6, 'timestamp', 'timestamp', '')) AS t("table", position, "column", "type", comment)""".replace("@TURN", "(SELECT CASE WHEN typeof(any_value(turn)) = 'BIGINT' THEN 'bigint' ELSE 'int' END FROM conversations)")
+
+
+@query
+def r13_hunt_rows(spark, d):
+    marks = _hits(spark, d).select("key", F.lit("slow").alias("facet"), "step")
+    batches = _readings(spark, d).select("key", F.concat(F.lit("b"), F.col("round")).alias("batch"))
+    return MI.hunt_rows(_readings(spark, d), marks, batches)
+
+
+ORACLE["r13_hunt_rows"] = f"""WITH {_HIT}, m AS (SELECT key, count(*) AS marks, min(step) AS first_mark FROM hit GROUP BY key)
+    SELECT coalesce(rd.key, m.key) AS key, CASE WHEN rd.found IS NULL THEN 'unread' WHEN rd.found THEN 'found' ELSE 'rejected' END AS status, facet, coalesce(marks, 0) AS marks, first_mark, 'b' || round AS batch FROM rd FULL JOIN m ON m.key = rd.key"""
+
+
+@query
+def r13_hunts(spark, d):
+    return MI.hunts_list(H.verdict_table("slow calls", _readings(spark, d), _hits(spark, d)))
+
+
+ORACLE["r13_hunts"] = f"WITH {_HIT} SELECT 'slow calls' AS hunt, max(round) + 1 AS rounds, count(*) AS read, count(*) FILTER (found) AS found, count(DISTINCT facet) FILTER (found) AS facets FROM rd"
