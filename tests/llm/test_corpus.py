@@ -8,6 +8,7 @@ from hashlib import sha256
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from util import agree
 
@@ -425,6 +426,28 @@ def test_toxicity_odd(spark, odd):
     assert toxicity.threshold([(0.0, 0), (0.1, 0), (0.5, 1)]) == pytest.approx(0.3)
 
 
+def test_threshold_of_all_rows(spark):
+    """Running counts in ranges find what one sorted list does."""
+    rng = random.Random(5)
+    cases = [[(rng.choice([rng.gauss(y, 1.5), round(rng.gauss(y, 1), 1)]), y) for y in (rng.random() < share for _ in range(n)) for y in [int(y)]] for n, share in ((1, 1), (2, 0.5), (40, 0.3), (400, 0.1), (400, 0.9))]
+    cases += [[], [(1.0, 0)], [(-1.0, 1), (-2.0, 0)], [(0.5, 1), (0.5, 0)], [(0.0, 1), (2.0, 0), (2.0, 1)]]
+    for pairs in cases:
+        want = toxicity.threshold(pairs)
+        rows = spark.createDataFrame(pairs, "ratio double, toxic int")
+        assert [toxicity.fitted_threshold(rows, part_rows=n) for n in (7, 50_000)] == [want, want]
+
+
+def test_labels_behind_the_first_200_000_move_the_threshold(spark):
+    """Only the last 500 labelled rows by hash of the id show that the middling word is toxic rather than not."""
+    rows = spark.range(200_500).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"), "id")).alias("at"))
+    word = F.when(F.col("at") > 200_000, "murk").when(F.col("at") <= 100, "murk").when(F.col("at") <= 1100, "vile").otherwise("calm")
+    rows = rows.select("doc_id", F.concat_ws(" ", word, "doc_id").alias("text"), ((F.col("at") > 200_000) | F.col("at").between(101, 1100)).cast("int").alias("toxic")).cache()
+    got = toxicity.score_toxicity(rows.select("doc_id", "text"), rows.select("doc_id", "toxic")).join(rows, "doc_id")
+    found = {(r[0], r[1]): r[2] for r in got.groupBy(F.split("text", " ")[0], "predicted").count().collect()}
+    rows.unpersist()
+    assert found == {("murk", 1): 600, ("vile", 1): 1000, ("calm", 0): 198_900}
+
+
 # 6 mixing
 
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import id_texts, likely_among, stored
@@ -267,13 +267,44 @@ def threshold(pairs: list[tuple[float, int]]) -> float:
     return float(middles[possible][errors[possible].argmin()]) if possible.any() else 1.0
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 200_000, max_nodes: int = 4_000_000, passage: int = 2) -> DataFrame:
+def fitted_threshold(rows: DataFrame, parts: int = 1024, part_rows: int = 50_000) -> float:
+    """What ``threshold`` finds for ``ratio, toxic`` of all rows, from running counts in ranges of the ratio.
+
+    Rows are counted by ratio, map-side first, and ratios are cut into at most ``parts`` ranges at approximate
+    quantiles; each range adds the sums of those below, so no task orders all ratios and no row is left out.
+    """
+    counts = stored(rows.groupBy("ratio").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o")), "kn-fit")
+    k = max(1, min(parts, counts.count() // part_rows))
+    bounds = sorted(set(counts.agg(F.percentile_approx("ratio", F.array(*[F.lit(i / k) for i in range(1, k)]), F.lit(10_000))).first()[0] or [])) if k > 1 else []
+    listed = "array(" + ", ".join(f"{b!r}D" for b in bounds) + ")"
+    dealt = counts.withColumn("part", F.expr(f"size(filter({listed}, b -> b <= ratio))") if bounds else F.lit(0))
+    ranges = sorted(dealt.groupBy("part").agg(F.sum("t"), F.sum("o"), F.min("ratio")).collect())
+    all_t, all_o = sum(r[1] for r in ranges), sum(r[2] for r in ranges)
+    if not all_t:
+        return 1.0
+    # Of each range: toxic rows below it, ordinary ones from its start on, and where the next begins.
+    known, below, above = [], 0, all_o
+    for (part, t, o, _), following in zip(ranges, [*(r[3] for r in ranges[1:]), None], strict=True):
+        known.append((part, below, above, following))
+        below, above = below + t, above - o
+    known = F.broadcast(rows.sparkSession.createDataFrame(known, "part int, below long, above long, following double"))
+    own = Window.partitionBy("part").orderBy("ratio")
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    errors = F.col("below") + F.sum("t").over(upto) + F.col("above") - F.sum("o").over(upto)
+    middle = (F.col("ratio") + F.coalesce(F.lead("ratio").over(own), "following", "ratio")) / 2
+    best = dealt.join(known, "part").select(errors.alias("errors"), middle.alias("middle")).filter("middle > 0").agg(F.min(F.struct("errors", "middle"))).first()[0]
+    least = ranges[0][3]  # a threshold there calls every row toxic
+    possible = ([tuple(best)] if best else []) + ([(all_o, least)] if least > 0 else [])
+    return float(min(possible)[1]) if possible else 1.0
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, max_nodes: int = 4_000_000, passage: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, score, predicted``; ``labels`` (doc_id, toxic) holds what may be learned.
 
     Equal texts are counted once per label.  Rows of ``labels`` with a null id or label, or of unknown ids, teach
     nothing; without any of both labels every score is 0.  A text without words, null or empty, scores 0.  The
-    score is r / (r + threshold) for a log ratio r above 0; the threshold is fitted on at most ``fit_rows``
-    labelled rows, the first by hash of the id.  Texts are read whole; repeated rows score alike.
+    score is r / (r + threshold) for a log ratio r above 0; the threshold is fitted on all
+    labelled rows.  Texts are read whole; repeated rows score alike.
     A model of more than ``max_nodes`` beginnings (24 bytes each) stays in its table and is joined with the words of
     the texts; a smaller one is sent to the tasks.  Scores are the same.
     """
@@ -286,8 +317,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 200_000,
     else:
         found = log_ratios_joined(docs, model, passage)
     ratios = stored(found, "kn-ratios")
-    sample = ratios.join(taught, "doc_id").orderBy(F.xxhash64("doc_id"), "ratio").limit(fit_rows).select("ratio", "toxic").toArrow()
-    cut = threshold(list(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), strict=True)))
+    cut = fitted_threshold(ratios.join(taught, "doc_id").select("ratio", "toxic"))
     positive = F.greatest(F.col("ratio"), F.lit(0.0))
     score = positive / (positive + F.lit(cut))
     return ratios.select("doc_id", score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
