@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from util import agree
 
-from trailmark.llm import exact_dedup, fuzzy_hash, kd_shards, language_id, license_scan, minhash, mixture, packing, suffix_dedup, toxicity
+from trailmark.llm import common, exact_dedup, fuzzy_hash, kd_shards, language_id, license_scan, minhash, mixture, packing, suffix_dedup, toxicity
 from trailmark.llm.components import connected_components
 from trailmark.llm.queries import ORACLE_SQL, QUERIES
 
@@ -753,6 +753,31 @@ def test_likely_among(spark):
     assert {i for i in range(0, 400, 5) if i % 9} <= {r["doc_id"] for r in some} and None not in {r["doc_id"] for r in some}
 
 
+def test_tasks_give_memory_back(spark, some, monkeypatch):
+    """A task's freed memory isn't kept by its worker, and every Python task of the pipeline's stages sees to that."""
+
+    def resident():
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon:")) / 1024
+
+    pins = []
+
+    def run(batches):
+        held = [np.ones(8000) for _ in range(3000)]  # 190 MB in blocks that the allocator keeps below one still in use
+        pins.append(np.ones(8000))
+        del held
+        yield from batches
+
+    before = resident()
+    assert list(common.trimmed(run)(iter([1, 2]))) == [1, 2] and resident() - before < 60
+    seen = []
+    frame = type(some)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, real=frame.mapInArrow, **b: seen.append(f.__qualname__) or real(self, f, *a, **b))
+    language_id.identify(some, {}), language_id.count_profiles(some), minhash.sketches(some, 5, 8, 4), packing.pack_documents(some, TOKENIZER)
+    minhash.confirmed(some, spark.createDataFrame([(1, 2)], "a long, b long"), 5, 80)
+    assert len(seen) == 5 and set(seen) == {"trimmed.<locals>.task"}
+
+
 def test_stages_on_odd_tables(spark, odd):
     """No rows at all, and repeated rows, nulls, ties and a long text, through every stage."""
     import corpus_pipeline as P

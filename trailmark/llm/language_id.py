@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailmark.llm.common import trimmed
+
 
 def _letter_table() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1)
@@ -81,7 +83,7 @@ def count_profiles(labelled: DataFrame, most: int = 2_000_000) -> DataFrame:
                         totals, held = {}, 0
         yield from rows(totals)
 
-    return labelled.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return labelled.select("text", "lang").mapInArrow(trimmed(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def learn_profiles(labelled: DataFrame, length: int = 300, max_languages: int = 1000) -> dict[str, list[int]]:
@@ -142,4 +144,4 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], length: int = 300)
             columns = [*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "lang_pred", "score"])
 
-    return frame.mapInArrow(predict, schema)
+    return frame.mapInArrow(trimmed(predict), schema)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import LOWER, NO_ID, UPPER, id_texts, likely_among, parallelism, smallest_of_group, stored, with_salts
+from trailmark.llm.common import LOWER, NO_ID, UPPER, id_texts, likely_among, parallelism, smallest_of_group, stored, trimmed, with_salts
 from trailmark.llm.components import connected_components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -142,7 +142,7 @@ def sketches(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ks)]).astype(np.int32), np.concatenate(ks) if ks else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([ids, pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(sk, pa.binary()), lists], names=["doc_id", "n", "d1", "d2", "sketch", "keys"])
 
-    return id_texts(docs).mapInArrow(run, "doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
+    return id_texts(docs).mapInArrow(trimmed(run), "doc_id long, n long, d1 long, d2 long, sketch binary, keys array<long>")
 
 
 def _likely(ours: tuple[np.ndarray, ...], theirs: tuple[np.ndarray, ...], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +226,7 @@ def candidates(members: DataFrame, similarity: float, nearest: int = NEAREST, ch
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], names=["a", "b", "key"])
 
     spark = dealt.sparkSession
-    found = dealt.repartition(parallelism(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(run, "a long, b long, key long")
+    found = dealt.repartition(parallelism(spark), "key", "part").sortWithinPartitions("key", "part").mapInArrow(trimmed(run), "a long, b long, key long")
     found = stored(found, "mh-pairs")
     hubs = found.filter("key IS NOT NULL").select("key", F.col("a").alias("hub"))
     least = hubs.groupBy("key").agg(F.min("hub").alias("least"))
@@ -268,7 +268,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int, chunk:
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
     placed = rows.repartition(parallelism(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "partner")
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(trimmed(run), "a long, b long")
 
 
 def blocks(members: DataFrame, drawn: DataFrame, homes: DataFrame, similarity: float, chunk: int = 1024, shingles: int = 2_000_000) -> DataFrame:
@@ -326,7 +326,7 @@ def blocks(members: DataFrame, drawn: DataFrame, homes: DataFrame, similarity: f
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "p", "q", "side", "doc_id", "home"])
 
     dealt = rows_.repartition(parallelism(members.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
-    return dealt.mapInArrow(run, "key long, p long, q long, side long, doc_id long, home long")
+    return dealt.mapInArrow(trimmed(run), "key long, p long, q long, side long, doc_id long, home long")
 
 
 def _sides(p: int, q: int, sides: list[int]) -> tuple[slice, slice]:
@@ -405,7 +405,7 @@ def confirmed_in_blocks(docs: DataFrame, asked: DataFrame, size: int, percent: i
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     placed = rows.repartition(parallelism(docs.sparkSession), "key", "p", "q").sortWithinPartitions("key", "p", "q", "side")
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(trimmed(run), "a long, b long")
 
 
 def _root(above: np.ndarray, x: int) -> int:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from trailmark.llm.common import id_texts
+from trailmark.llm.common import id_texts, trimmed
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LAST = (1).to_bytes(4, "little")  # the id that ends a document
@@ -232,4 +232,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, m
         packer.close(True)
         yield packer.take()
 
-    return id_texts(docs).mapInArrow(pack, SCHEMA)
+    return id_texts(docs).mapInArrow(trimmed(pack), SCHEMA)
