@@ -125,6 +125,26 @@ def test_suffix_order_and_prefixes():
             assert found[k] == min(same, 16)
 
 
+def test_shared_strings_by_ranks_need_no_prefixes(monkeypatch):
+    """Neighbours share what their bytes say, and shards are searched without a pass for common prefixes."""
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 3, 90, dtype=np.uint8).tobytes() for _ in range(4)]
+    for n in (1, 9, 60, 400):
+        for data in (rng.integers(0, 2, n, dtype=np.uint8), np.zeros(n, np.uint8), np.frombuffer(b"".join(words[i] for i in rng.integers(0, 4, n // 9 + 1)), np.uint8)):
+            for passage, length in ((8, 8), (8, 30), (13, 50), (32, 77), (64, 64)):
+                kept = {(depth := 2 ** (passage.bit_length() - 1)): None}
+                order, _, _ = suffix_dedup.suffix_order(data, length, kept)
+                for width in (passage, length):
+                    got = suffix_dedup.shares(order, kept[depth], depth, width)
+                    slow = [i > 0 and max(order[i], order[i - 1]) + width <= len(data) and bytes(data[order[i] : order[i] + width]) == bytes(data[order[i - 1] : order[i - 1] + width]) for i in range(len(data))]
+                    assert got.tolist() == slow
+    monkeypatch.setattr(suffix_dedup, "common_prefixes", None)
+    text = rng.integers(0, 250, 130, dtype=np.uint8).tobytes()
+    found, wide, _ = suffix_dedup.repeated_starts([text, b"x" + text], [50, 51], [1, 1], [1, 2], [False, False], 80, 16)
+    assert found[0].tolist() == list(range(50)) and found[1].tolist() == list(range(1, 51))
+    assert wide[0].tolist() == list(range(50)) and wide[1].tolist() == list(range(1, 51))
+
+
 # 2 language
 
 

@@ -10,8 +10,8 @@ equal strings meet without comparing everything with everything:
   segment with a weight; where an anchor has one content only, its weight decides.
 * *Shards.*  The other segments meet by anchor in shards of about ``shard`` bytes.  A shard sorts its suffixes by
   Larsson-Sadakane refinement: ranks by eight bytes, then doubled depth among the groups that are still unsorted,
-  until the depth passes ``length``.  Kasai's pass gives the common prefixes of neighbours; neighbours that share
-  ``length`` bytes are one string, and its occurrences are weighed.  Neighbours that share ``passage`` bytes are one
+  until the depth passes ``length``.  The ranks by a depth on the way tell which neighbours share ``length`` bytes
+  (Kasai's pass does for passages under eight bytes); those are one string, and its occurrences are weighed.  Neighbours that share ``passage`` bytes are one
   passage, which counts where it occurs in several documents.
 * *Merging.*  An anchor with more contents than a shard takes is dealt to several.  Each passes its distinct
   strings on in sorted order, cut into ranges, and a range finds strings of one shard in the others by binary search.
@@ -79,8 +79,11 @@ def anchors(data: bytes, length: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return hashes[picked[lo]].view(np.int64), lo.astype(np.int32), starts.astype(np.int32)
 
 
-def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes sorted by at least their first ``depth`` bytes, their ranks (ties share one), and each place's 8 bytes."""
+def suffix_order(data: np.ndarray, depth: int, kept: dict[int, np.ndarray | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes sorted by at least their first ``depth`` bytes, their ranks (ties share one), and each place's 8 bytes.
+
+    ``kept`` has depths (8 doubled) as keys and gets the ranks by that many bytes.
+    """
     n = len(data)
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eight = np.zeros(n, np.uint64)
@@ -92,7 +95,9 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     slots = np.flatnonzero(~(first & np.concatenate((first[1:], [True]))))
-    h = 8
+    h, kept = 8, {} if kept is None else kept
+    if h in kept:
+        kept[h] = rank.copy()
     while h < depth and len(slots):
         members = order[slots]
         ahead = members + h
@@ -105,9 +110,28 @@ def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
         rank[members] = slots[np.maximum.accumulate(np.where(new, np.arange(len(slots)), 0))]
         slots = slots[~(new & np.concatenate((new[1:], [True])))]
         h *= 2
+        if h in kept:
+            kept[h] = rank.copy()
+    # Where all is sorted before that depth, no ranks are shared there either.
+    kept.update({k: rank for k, r in kept.items() if r is None})
     return order, rank, eight
 
 
+def shares(order: np.ndarray, rank: np.ndarray, depth: int, width: int) -> np.ndarray:
+    """For each slot of ``order``: whether it has its first ``width`` bytes in common with the slot before.
+
+    ``rank`` is by ``depth`` bytes, at most ``width``: places ``depth`` apart are compared by rank, and the last one
+    where it ends with the string.
+    """
+    a, b = order[1:], order[:-1]
+    near = np.flatnonzero((rank[a] == rank[b]) & (np.maximum(a, b) + width <= len(order)))
+    for at in [*range(depth, width - depth, depth), width - depth]:
+        near = near[rank[a[near] + at] == rank[b[near] + at]]
+    out = np.zeros(len(order), bool)
+    out[near + 1] = True
+    return out
+
+
 def common_prefixes(order: np.ndarray, rank: np.ndarray, eight: np.ndarray, most: int, lanes: int | None = None) -> np.ndarray:
     """For each slot of ``order``: the common prefix with the slot before, at most ``most``.
 
@@ -169,17 +193,24 @@ def repeated_starts(
     sizes = np.array([len(s) for s in segments])
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    order, rank, eight = suffix_order(data, length)
-    shared = common_prefixes(order, rank, eight, length)
+    if passage < 8:
+        order, rank, eight = suffix_order(data, length)
+        shared = common_prefixes(order, rank, eight, length)
+        full, short = shared >= length, shared >= passage
+    else:
+        depth = 2 ** (passage.bit_length() - 1)
+        kept: dict[int, np.ndarray | None] = {depth: None}
+        order, _, _ = suffix_order(data, length, kept)
+        full, short = (shares(order, kept[depth], depth, width) for width in (length, passage))
     owner = np.repeat(np.arange(len(segments)), sizes)[order]
     place = order - begins[owner]
     own = place < np.array(starts)[owner]
     whole = own & (order + length <= ends[owner])  # strings, not what runs on into the next segment
-    group = np.cumsum(shared < length) - 1
+    group = np.cumsum(~full) - 1
     weight = np.bincount(group[whole], weights=np.array(weights)[owner[whole]], minlength=group[-1] + 1)
     again = weight[group] >= 2
     wide = own & (order + passage <= ends[owner])
-    part = np.cumsum(shared < passage) - 1
+    part = np.cumsum(~short) - 1
     rid = np.array(rids, np.int64)[owner[wide]]
     least, most = np.full(part[-1] + 1, np.iinfo(np.int64).max), np.full(part[-1] + 1, np.iinfo(np.int64).min)
     np.minimum.at(least, part[wide], rid)
