@@ -140,39 +140,81 @@ def lifts(located: DataFrame, turns: DataFrame, strata: DataFrame) -> DataFrame:
     return per_rule.withColumn("lift", F.col("followed") / F.nullif(F.col("baseline"), F.lit(0.0)))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` worked out once: in the checkpoint folder, or, in a local session without one, in the session."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir():
+        return df.checkpoint()
+    return df.localCheckpoint() if context.master.startswith("local") else df
+
+
+#: Blocks of those asked in one task, for a block of those that ask.
+ASKED = 4
+
+
 def nearest(vectors: DataFrame, stratum: str, k: int = 10, block: int = 2048) -> DataFrame:
     """Key, neighbour, distance, rank: the k nearest of each vector among all of its stratum.
 
-    ``vectors`` has key, stratum and ``vector``.  A stratum is cut into blocks; each pair of blocks is one matrix
-    product, so a task holds two blocks whatever the size of the stratum.  Ties go to the smaller key.
+    ``vectors`` has key, stratum and ``vector``.  A stratum is cut into blocks; each block meets all others, some at a
+    time, as matrix products, so a task holds few blocks whatever the size of the stratum.  The products find which
+    vectors may be among the k nearest, the distances of these are taken from the vectors.  Ties go to the smaller key.
     """
     import numpy as np
     import pandas as pd
 
     sizes = vectors.groupBy(stratum).agg(F.count("*").alias("m"))
-    dealt = vectors.join(sizes, stratum).withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("block", F.expr("pmod(xxhash64(key), blocks)"))
-    left = dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(stratum, F.col("block").alias("mine"), "other", F.lit(True).alias("asks"), "key", "vector")
-    right = dealt.withColumn("mine", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(stratum, "mine", F.col("block").alias("other"), F.lit(False).alias("asks"), "key", "vector")
+    dealt = vectors.join(sizes, stratum).withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("block", F.expr("pmod(xxhash64(key), blocks)")).withColumn("of", F.expr(f"block DIV {ASKED}"))
+    left = dealt.withColumn("other", F.explode(F.expr(f"sequence(0L, (blocks - 1) DIV {ASKED})"))).select(stratum, F.col("block").alias("mine"), "other", F.lit(True).alias("asks"), "key", "vector")
+    right = dealt.withColumn("mine", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(stratum, "mine", F.col("of").alias("other"), F.lit(False).alias("asks"), "key", "vector")
     kind = dict(vectors.dtypes)["key"]
+    kinds = f"key {kind}, neighbour {kind}, distance double"
+    most = np.finfo(float).max
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         asks, held = pdf[pdf.asks], pdf[~pdf.asks].sort_values("key")
+        nothing = pd.DataFrame({"key": pdf.key.to_numpy()[:0], "neighbour": pdf.key.to_numpy()[:0], "distance": np.zeros(0)})
         if not len(asks) or not len(held):
-            return pd.DataFrame({"key": [], "neighbour": [], "distance": []})
+            return nothing
         a, b = np.stack(asks.vector).astype(float), np.stack(held.vector).astype(float)
-        out = []
+        mine, theirs = asks.key.to_numpy(), held.key.to_numpy()
+        shared = int(asks.mine.iloc[0]) // ASKED == int(asks.other.iloc[0])  # else nobody meets itself
+        squares = (b**2).sum(1)
+        heaps = min(len(b), 8 * k)
+        deep = len(b) // heaps
+        out = [nothing]
         for at in range(0, len(a), 256):
-            part = a[at : at + 256]
-            d = np.maximum((part**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * part @ b.T, 0)
-            keys = asks.key.to_numpy()[at : at + 256]
-            d[keys[:, None] == held.key.to_numpy()[None, :]] = np.inf
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            for i, row in enumerate(best):
-                exact = np.sqrt(((part[i] - b[row]) ** 2).sum(1))
-                out.append(pd.DataFrame({"key": keys[i], "neighbour": held.key.to_numpy()[row], "distance": exact})[np.isfinite(d[i, row])])
+            part, keys = a[at : at + 256], mine[at : at + 256]
+            own = (part**2).sum(1)
+            with np.errstate(all="ignore"):
+                d = part @ b.T
+                d *= -2
+                d += own[:, None]
+                d += squares[None, :]
+            if shared:
+                d[keys[:, None] == theirs[None, :]] = np.inf
+            d[:, ~np.isfinite(squares)] = np.inf
+            # The k-th smallest of the least of heaps is no less than the k-th smallest of all.
+            lows = d[:, : heaps * deep].reshape(len(part), deep, heaps).min(1)
+            upto = np.partition(lows, k - 1, axis=1)[:, k - 1] if heaps > k else np.full(len(part), most)
+            upto = np.maximum(upto, 0)
+            reach = own + squares[np.isfinite(squares)].max(initial=0)
+            with np.errstate(all="ignore"):  # what rounding to nine digits and the products' errors may hide is kept too
+                upto = np.minimum(upto + 4e-9 * np.sqrt(upto) + 1e-17 + 1e-15 * (8 + part.shape[1]) * reach, most)
+            rows, columns = np.nonzero(d <= upto[:, None])
+            exact = np.empty(len(rows))
+            slice_ = max(1, 2_000_000 // max(1, part.shape[1]))
+            for lo in range(0, len(rows), slice_):
+                r, c = rows[lo : lo + slice_], columns[lo : lo + slice_]
+                exact[lo : lo + slice_] = np.sqrt(((part[r] - b[c]) ** 2).sum(1))
+            order = np.lexsort((columns, np.round(exact, 9), rows))
+            first = np.searchsorted(rows, np.arange(len(part)))
+            order = order[np.arange(len(rows)) - first[rows] < k]
+            out.append(pd.DataFrame({"key": keys[rows[order]], "neighbour": theirs[columns[order]], "distance": exact[order]}))
         return pd.concat(out)
 
-    found = left.unionByName(right).groupBy(stratum, "mine", "other").applyInPandas(search, f"key {kind}, neighbour {kind}, distance double")
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.unionByName(right).repartition(tasks, stratum, "mine", "other")  # counted, so that small rows aren't put together
+    found = met.groupBy(stratum, "mine", "other").applyInPandas(search, kinds)
     order = Window.partitionBy("key").orderBy(F.round("distance", 9), "neighbour")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
@@ -180,7 +222,7 @@ def nearest(vectors: DataFrame, stratum: str, k: int = 10, block: int = 2048) ->
 def outliers(vectors: DataFrame, stratum: str, k: int = 10) -> DataFrame:
     """Mean distance to the k nearest over the stratum's median of it (its mean, then 1, where that is 0); null below three."""
     means = nearest(vectors, stratum, k).groupBy("key").agg(F.avg("distance").alias("mean_distance"))
-    own = vectors.select("key", stratum).join(means, "key", "left")
+    own = kept(vectors.select("key", stratum).join(means, "key", "left"))  # quantiles read it more than once
     sizes = own.groupBy(stratum).agg(F.count("*").alias("__rows"), F.avg("mean_distance").alias("__mean"))
     scales = sizes.join(quantiles(own, [stratum], "mean_distance", {"__middle": 0.5}), stratum, "left")
     scale = F.coalesce(F.nullif("__middle", F.lit(0.0)), F.nullif("__mean", F.lit(0.0)), F.lit(1.0))
