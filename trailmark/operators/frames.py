@@ -105,15 +105,20 @@ def scaled(df: DataFrame, blocks: dict[str, list[str]], labels: set[str] = froze
 # Path trees: ``paths`` has key and path (array of labels), one row per event.
 
 
-def prefixes(paths: DataFrame) -> DataFrame:
-    """key, node, depth: every beginning of every path, the empty one too."""
+def prefixes(paths: DataFrame, *more: str) -> DataFrame:
+    """key, node, depth and ``more``: every beginning of every path, the empty one too."""
     node = F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda d: F.when(d == 0, F.array().cast("array<string>")).otherwise(F.slice("path", 1, d))))
-    return paths.select("key", node.alias("node")).withColumn("depth", F.size("node"))
+    return paths.select("key", *more, node.alias("node")).withColumn("depth", F.size("node"))
 
 
 def tree(paths: DataFrame) -> DataFrame:
-    """Node, depth, support (trajectories that have it), events."""
-    return prefixes(paths).groupBy("node", "depth").agg(F.count_distinct("key").alias("support"), F.count("*").alias("events"))
+    """Node, depth, support (trajectories that have it), events.
+
+    Events are counted by key and path before paths are taken apart, and by key and node before keys are counted.
+    """
+    counted = paths.groupBy("key", "path").agg(F.count("*").alias("n"))
+    own = prefixes(counted, "n").groupBy("node", "depth", "key").agg(F.sum("n").alias("n"))
+    return own.groupBy("node", "depth").agg(F.count("key").alias("support"), F.sum("n").alias("events"))
 
 
 def cut_paths(paths: DataFrame, share: float = 0.01) -> DataFrame:

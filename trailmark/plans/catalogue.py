@@ -339,9 +339,12 @@ def n25_spearman(spark, d):
     return rounded(N.spearman(table(spark, d, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice"), "rho")
 
 
-def _paths(spark, d):
+def _paths(spark, d, part_rows=500_000):
+    """key and path of each line; a task joins and sorts some ``part_rows`` lines, however many there are."""
     li, o = table(spark, d, "lineitem"), table(spark, d, "orders")
-    return li.join(o.select("o_orderkey", "o_custkey"), li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("key"), F.array("l_returnflag", "l_linestatus").alias("path"))
+    parts = max(spark.sparkContext.defaultParallelism, li.count() // part_rows)
+    li, o = li.select("l_orderkey", "l_returnflag", "l_linestatus").repartition(parts, "l_orderkey"), o.select("o_orderkey", "o_custkey").repartition(parts, "o_orderkey")
+    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("key"), F.array("l_returnflag", "l_linestatus").alias("path"))
 
 
 @query
